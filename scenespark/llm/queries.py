@@ -1,10 +1,17 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from scenespark.llm import tokens
+from scenespark.llm import codes, lines, tokens, urls
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
+    "op4_url_filter": urls.op4_url_filter,
+    "op5_top_k": codes.op5_top_k,
     "op7_packing": tokens.op7_packing,
     "op8_token_counts": tokens.op8_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_line_dedup": lines.OP1_SQL,
+    "op4_url_filter": urls.OP4_SQL,
+    "op5_top_k": codes.OP5_SQL,
+}
