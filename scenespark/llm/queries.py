@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from scenespark.llm import codes, lines, tokens, urls
+from scenespark.llm import codes, lines, simhash, tokens, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op4_url_filter": urls.op4_url_filter,
     "op5_top_k": codes.op5_top_k,
     "op7_packing": tokens.op7_packing,
