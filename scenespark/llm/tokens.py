@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,42 +108,51 @@ class PrefixCounter:
         self.cut = regex.compile(r"'(?:re|ve|ll)").finditer
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(enc.special, key=len, reverse=True))).finditer if enc.special else lambda text: ()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def _fits(self, a: bytes, b: bytes) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2 * MEMO:
-                self.pairs.clear()
-            ranks = self.enc.ranks
-            got = self.pairs[a, b] = self.enc.pieces((a + b)) == [ranks[a], ranks[b]]
+        if len(self.pairs) > 2 * MEMO:
+            self.pairs.clear()
+        ranks = self.enc.ranks
+        got = self.pairs[a, b] = self.enc.pieces(a + b) == [ranks[a], ranks[b]]
         return got
 
-    def _run(self, piece: str) -> np.ndarray:
+    def _run(self, piece: str) -> array:
         """Counts after each code point of one pre-token."""
-        raw, ranks, longest, fits = piece.encode(), self.enc.ranks, self.longest, self._fits
-        n = len(raw)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
+        raw, ranks, longest = piece.encode(), self.enc.ranks, self.longest
+        n, pairs, fits = len(raw), self.pairs, self._fits
+        last, count, begin = [b""], [0], 0
         for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
+            # exactly one start fits; most often the last token grows
+            t = raw[begin:j]
+            if t in ranks and (not begin or (pairs[last[begin], t] if (last[begin], t) in pairs else fits(last[begin], t))):
+                last.append(t)
+                count.append(count[begin] + 1)
+                continue
+            for i in range(j - 1, max(0, j - longest) - 1, -1):
                 t = raw[i:j]
-                if t in ranks and (i == 0 or fits(last[i], t)):
-                    last[j], count[j] = t, count[i] + 1
+                if i != begin and t in ranks:
+                    if i:
+                        ok = pairs.get((last[i], t))
+                        if ok is None:
+                            ok = fits(last[i], t)
+                        if not ok:
+                            continue
+                    last.append(t)
+                    count.append(count[i] + 1)
+                    begin = i
                     break
-        counts = np.asarray(count[1:], np.int32)
         if n != len(piece):
-            starts = np.frombuffer(raw + b"\0", np.uint8)[1:] & 0xC0
-            counts = counts[starts != 0x80]
-        return counts
+            count = [0] + [c for c, after in zip(count[1:], raw[1:] + b" ") if after & 0xC0 != 0x80]
+        return array("I", count[1:])
 
     def _piece(self, piece: str) -> bytes:
-        got = self.memo.get(piece)
-        if got is None:
-            got = self._run(piece).astype("<u2").tobytes()
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[piece] = got
+        """The same as bytes, remembered in two generations: what was not asked for in one is forgotten."""
+        got = self.older.get(piece) or array("H", self._run(piece)).tobytes()
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        self.memo[piece] = got
         return got
 
     def _ordinary(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +162,10 @@ class PrefixCounter:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if lens.max() < 16_000:
-            memo, one = self.memo, self._piece
-            own = np.frombuffer(b"".join([memo.get(p) or one(p) for p in pieces]), "<u2").astype(np.int32)
+            one = self._piece
+            own = np.frombuffer(b"".join([self.memo.get(p) or one(p) for p in pieces]), np.uint16).astype(np.int32)
         else:
-            own = np.concatenate([self._run(p) for p in pieces])
+            own = np.concatenate([np.asarray(self._run(p), np.int32) for p in pieces])
         ends = np.cumsum(lens)
         base = np.cumsum(own[ends - 1]) - own[ends - 1]
         out = own + np.repeat(base, lens).astype(np.int32)
