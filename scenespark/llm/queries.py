@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from scenespark.llm import codes, lines, simhash, tokens, urls
+from scenespark.llm import codes, lines, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_top_k": codes.op5_top_k,
     "op7_packing": tokens.op7_packing,
     "op8_token_counts": tokens.op8_token_counts,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL = {
