@@ -60,6 +60,18 @@ def _array(xs: Iterable[str]) -> Column:
     return F.array(*map(F.lit, xs)) if (xs := list(xs)) else F.array().cast("array<string>")
 
 
+def _stands(ws: list[str]):
+    """Whether the column `words` has ws from a place on."""
+
+    def at(i: Column) -> Column:
+        out = F.get(F.col("words"), i).eqNullSafe(ws[0])
+        for k, w in enumerate(ws[1:], 1):
+            out = out & F.get(F.col("words"), i + k).eqNullSafe(w)
+        return out
+
+    return at
+
+
 def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, body, block (line from 0), label, containment: every block of every document that holds at least
     `threshold` of a template's distinct words; body is a hash of the text, which tells rows of one doc_id
@@ -91,7 +103,7 @@ def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold:
     near = placed.join(F.broadcast(small), "t").where(
         (F.size("has") >= F.col("need"))
         & (1 + F.least(F.size("tokens") - F.col("at") - 1, F.size("has") - F.col("place") - 1) >= F.col("need"))
-        & ((F.col("place") == 0) | ~F.arrays_overlap(F.slice("has", 1, F.greatest(F.col("place"), F.lit(1))), F.col("tokens")))
+        & ((F.col("place") == 0) | ~F.arrays_overlap(F.slice("has", F.lit(1), F.greatest(F.col("place"), F.lit(1))), F.col("tokens")))
     )
     common = F.size(F.array_intersect("has", "tokens"))
     return near.where(common >= F.col("need")).select("doc", "body", "block", "label", (common / F.size("tokens")).alias("containment"))
@@ -113,15 +125,8 @@ def scan(df: DataFrame, phrases: Iterable[Template] = PHRASES, templates: Iterab
         may = F.lit(True)
         for w in ws:
             may = may & F.col("low").contains(w)  # most texts lack a word of the phrase
-
-        def stands(i: Column, ws: list[str] = ws) -> Column:
-            out = F.get(F.col("words"), i) == ws[0]
-            for k, w in enumerate(ws[1:], 1):
-                out = out & F.get(F.col("words"), i + k).eqNullSafe(w)
-            return out
-
         n = F.size("words") - len(ws)
-        places.append(F.when(may & (n >= 0), F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), stands)).otherwise(F.array().cast("array<int>")))
+        places.append(F.when(may & (n >= 0), F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), _stands(ws))).otherwise(F.array().cast("array<int>")))
         named.append(label)
     placed = base.select("doc_id", "body_", F.size("words").cast("long").alias("n_words"), *(p.alias(f"at_{k}") for k, p in enumerate(places)))
     at = [F.col(f"at_{k}") for k in range(len(places))]
