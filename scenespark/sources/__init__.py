@@ -1,0 +1 @@
+"""Readers and writers: catalogues, summaries, rasters, logs, configuration, JSON."""

@@ -1,0 +1 @@
+"""Structured Streaming: scenes as they arrive."""
