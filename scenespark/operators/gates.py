@@ -162,11 +162,12 @@ def assert_measured_unchanged(before: DataFrame, after: DataFrame, measured: Seq
 
 def flatten_claims(claims: DataFrame, json: str = "json") -> DataFrame:
     """(path, value) of every scalar in a JSON text, nested objects by dotted paths."""
-    m = F.from_json(F.col(json), "map<string,string>")
-    level = claims.select(F.explode(m).alias("path", "value"))
+    kind = "map<string,string>"
+    level = claims.select(F.explode(F.from_json(F.col(json), kind)).alias("path", "value"))
     for _ in range(8):  # depth of nesting
-        deeper = level.where(F.col("value").startswith("{")).select("path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value")).select(F.concat_ws(".", "path", "k").alias("path"), "value")
-        level = level.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False))).unionByName(deeper)
+        inner = F.transform(F.map_entries(F.from_json("value", kind)), lambda e: F.struct(F.concat_ws(".", "path", e["key"]).alias("path"), e["value"].alias("value")))
+        own = F.array(F.struct("path", "value"))
+        level = level.select(F.inline(F.when(F.coalesce(F.col("value").startswith("{"), F.lit(False)), inner).otherwise(own)))
     return level
 
 

@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def r6(df: DataFrame) -> DataFrame:
-    """Doubles rounded to 6 digits, as the SQL does."""
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def r6(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, as the SQL does."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

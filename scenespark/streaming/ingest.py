@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_landing(spark: SparkSession, path: str, schema: T.StructType, time: str, files_a_batch: int = 100) -> DataFrame:
-    """Parquet files as they land, with the event time as a TIMESTAMP (watermarks need one)."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+def read_landing(spark: SparkSession, path: str, schema: T.StructType, time: str, files_a_batch: int = 100, names: str = "*") -> DataFrame:
+    """Parquet files of a folder (those whose names fit) as they land, with the event time as a TIMESTAMP
+    (watermarks need one)."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", names).parquet(path)
     return raw.withColumn(time, F.col(time).cast("timestamp"))
 
 
