@@ -129,7 +129,7 @@ def _per_group(df: DataFrame, by: Sequence[str], columns: Sequence[str], run, sc
     data = df.select(*(by or [F.lit(0).alias("all__")]), *columns)
     head = "".join(f"`{k}` {kinds.get(k, 'int')}, " for k in keys)
 
-    def call(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def call(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame([run(pdf)])
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
