@@ -107,23 +107,25 @@ class Scorer:
 
 def fit(grades: np.ndarray, bins: list[np.ndarray], n_grades: int, most_features: int = 512, z_least: float = 5.0, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
     """Maximum penalised likelihood. grades: 0 … n_grades - 1; bins: the distinct features of each row."""
-    n = len(grades)
-    flat, row = np.concatenate(bins), np.repeat(np.arange(n), [len(b) for b in bins])
-    df = np.bincount(flat, minlength=BINS).astype(float)
+    n, below = len(grades), [grades < j for j in range(1, n_grades)]
+    df, counts = np.zeros(BINS), np.zeros((n_grades - 1, BINS))
+    for a in range(0, n, 1000):  # a thousand rows at a time, so the driver holds few copies of the sample
+        part = bins[a : a + 1000]
+        flat, size = np.concatenate(part), [len(b) for b in part]
+        df += np.bincount(flat, minlength=BINS)
+        for k, low in zip(counts, below):
+            k += np.bincount(flat, np.repeat(low[a : a + 1000], size), BINS)
     best = np.zeros(BINS)
-    for j in range(1, n_grades):  # does a feature part those below j from the others?
-        low = grades < j
-        p, k = low.mean(), np.bincount(flat[low[row]], minlength=BINS)
+    for k, low in zip(counts, below):  # does a feature part those below j from the others?
+        p = low.mean()
         with np.errstate(divide="ignore", invalid="ignore"):
             z = (np.abs(k - df * p) - 0.5) / np.sqrt(df * p * (1 - p) * (1 - df / n) + 1e-9)
         best = np.maximum(best, np.where((df >= 5) & (df < n), np.nan_to_num(z), 0))
     chosen = np.argsort(-best, kind="stable")[:most_features]
     chosen = np.sort(chosen[best[chosen] >= z_least])
-    place = np.full(BINS, -1)
-    place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen)), np.float32)
-    on = place[flat] >= 0
-    x[row[on], place[flat[on]]] = 1
+    for i, b in enumerate(bins):
+        x[i] = np.isin(chosen, b, assume_unique=True)
     share = (np.asarray([(grades < j).sum() for j in range(1, n_grades)]) + 0.5) / (n + 1)
     start = np.log(share / (1 - share))
     theta = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-3)), np.zeros(len(chosen))])
@@ -171,7 +173,8 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
     grades = got.column("grade").to_numpy()
     if len(set(grades.tolist())) < 2:
         return None
-    bins = [np.asarray(x.values) for x in got.column("bins").combine_chunks()]
+    bins = [x.values.to_numpy() for x in got.column("bins")]
+    del got
     order = np.lexsort(([xxhash.xxh64_intdigest(b.tobytes()) for b in bins], grades))
     return fit(grades[order], [bins[i] for i in order], n_grades, **how)
 
