@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,23 @@ PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 Gate = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Scalar:
+    """A gate that one aggregation over all rows decides: named aggregates, and rows made of them. Scalar
+    gates are fused, so any number of them read the table once."""
+
+    aggs: dict[str, Column]
+    rows: Sequence[tuple[str, Column, Column]]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return fused(df, [self])
+
+
+def fused(df: DataFrame, gates: Sequence[Scalar]) -> DataFrame:
+    one = df.agg(*(c.alias(n) for g in gates for n, c in g.aggs.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("gate"), s.alias("status"), d.alias("detail")) for g in gates for n, s, d in g.rows))))
+
+
 def _one(df: DataFrame, gate: str, aggs: Sequence[Column], status: Column, detail: Column) -> DataFrame:
     """One row from one aggregation."""
     return df.agg(*aggs).select(F.lit(gate).alias("gate"), status.alias("status"), detail.alias("detail"))
@@ -22,6 +40,10 @@ def _n(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def _bad(name: str, status: str = FAIL) -> Column:
+    return F.when(F.col(name) > 0, status).otherwise(PASS)
+
+
 def header(columns: Sequence[str], current: Sequence[str], legacy: Sequence[str]) -> tuple[str, str]:
     """Status and detail of a header line; decided on the driver, before any scan."""
     if list(columns) == list(current):
@@ -40,14 +62,13 @@ def rows_intact(lines: DataFrame, fields: int, separator: str = ",") -> DataFram
     return _one(lines.where("value <> ''"), "rows_intact", aggs, status, F.concat(_n("over"), F.lit(" over, "), _n("under"), F.lit(" under")))
 
 
-def derived(df: DataFrame, usable_share: float = P.USABLE_SHARE) -> DataFrame:
+def derived(usable_share: float = P.USABLE_SHARE) -> Scalar:
     """classified_px and usable follow from the counts."""
     classified = F.col("solid_px") + F.col("light_px") + F.col("water_px")
     grid = classified + F.col("cloud_px") + F.col("land_px") + F.col("nodata_px")
     usable = F.coalesce(F.try_divide(classified, F.nullif(grid, F.lit(0))) >= usable_share, F.lit(False)).cast("int")
-    got = df.agg(F.count_if(F.col("classified_px").isNull() | (F.col("classified_px") != classified)).alias("a"), F.count_if(F.col("usable").isNull() | (F.col("usable") != usable)).alias("b"))
-    row = lambda name, c: F.struct(F.lit(name).alias("gate"), F.when(F.col(c) > 0, FAIL).otherwise(PASS).alias("status"), F.concat(_n(c), F.lit(" rows differ")).alias("detail"))
-    return got.select(F.inline(F.array(row("derived_classified", "a"), row("derived_usable", "b"))))
+    aggs = {"off_c": F.count_if(F.col("classified_px").isNull() | (F.col("classified_px") != classified)), "off_u": F.count_if(F.col("usable").isNull() | (F.col("usable") != usable))}
+    return Scalar(aggs, [(f"derived_{n}", _bad(c), F.concat(_n(c), F.lit(" rows differ"))) for n, c in (("classified", "off_c"), ("usable", "off_u"))])
 
 
 def no_duplicates(df: DataFrame, key: Sequence[str], gate: str) -> DataFrame:
@@ -67,37 +88,34 @@ def tiles(df: DataFrame, tile: str, allowed: Sequence[str]) -> DataFrame:
     return n.select(F.inline(rows))
 
 
-def ranges(df: DataFrame, shares: Sequence[str] = P.SHARES, counts: Sequence[str] = P.COUNTS) -> DataFrame:
+def ranges(shares: Sequence[str] = P.SHARES, counts: Sequence[str] = P.COUNTS) -> Scalar:
     ice = F.col("solid_pct") + F.col("light_pct")
     bad = [F.count_if((F.col(c) < 0) | (F.col(c) > 1)) for c in shares] + [F.count_if(F.col(c) < 0) for c in counts] + [F.count_if((ice < 0) | (ice > 1))]
-    return _one(df, "ranges", [sum(bad[1:], bad[0]).alias("n")], F.when(F.col("n") > 0, FAIL).otherwise(PASS), F.concat(_n("n"), F.lit(" values out of range")))
+    return Scalar({"n_ranges": sum(bad[1:], bad[0])}, [("ranges", _bad("n_ranges"), F.concat(_n("n_ranges"), F.lit(" values out of range")))])
 
 
-def indices(df: DataFrame, columns: Sequence[str] = ("mean_ndsi_solid", "mean_ndsi_light", "mean_ndwi_water")) -> DataFrame:
-    bad = [F.count_if((F.col(c) < -1) | (F.col(c) > 1)) for c in columns if c in df.columns] or [F.lit(0)]
-    return _one(df, "indices", [sum(bad[1:], bad[0]).alias("n")], F.when(F.col("n") > 0, WARN).otherwise(PASS), F.concat(_n("n"), F.lit(" index means beyond -1 to 1")))
+def indices(columns: Sequence[str] = ("mean_ndsi_solid", "mean_ndsi_light", "mean_ndwi_water")) -> Scalar:
+    bad = [F.count_if((F.col(c) < -1) | (F.col(c) > 1)) for c in columns]
+    return Scalar({"n_indices": sum(bad[1:], bad[0])}, [("indices", _bad("n_indices", WARN), F.concat(_n("n_indices"), F.lit(" index means beyond -1 to 1")))])
 
 
-def zeroed_band(df: DataFrame) -> DataFrame:
+def zeroed_band() -> Scalar:
     """A water index of exactly 1 over nothing but water: a band read as fill."""
     bad = (F.abs(F.col("mean_ndwi_water") - 1) < 1e-6) & (F.abs(F.col("water_pct_clear") - 1) < 1e-3)
-    return _one(df, "zeroed_band", [F.count_if(bad).alias("n")], F.when(F.col("n") > 0, FAIL).otherwise(PASS), F.concat(_n("n"), F.lit(" scenes")))
+    return Scalar({"n_zeroed": F.count_if(bad)}, [("zeroed_band", _bad("n_zeroed"), F.concat(_n("n_zeroed"), F.lit(" scenes")))])
 
 
-def grid(df: DataFrame, shares: Sequence[str] = P.SHARES, counts: Sequence[str] = P.COUNTS) -> DataFrame:
+def grid(shares: Sequence[str] = P.SHARES, counts: Sequence[str] = P.COUNTS) -> Scalar:
     """Counts over shares imply one grid: rows that disagree with themselves by over 1 % fail; a spread over
     2 % of the median warns; rows that occupy over 100.5 % of it fail."""
     implied = F.filter(F.array(*(F.struct(F.col(s).alias("s"), F.try_divide(F.col(c), F.nullif(F.col(s), F.lit(0.0))).alias("g")) for s, c in zip(shares, counts))), lambda x: x["s"] > 0.01)
-    large = F.transform(F.filter("c", lambda x: x["s"] >= 0.05), lambda x: x["g"])
-    rows = df.withColumn("c", implied).where(F.size("c") > 0).withColumn("large", large)
-    rows = rows.withColumn("torn", (F.size("large") > 1) & (F.array_max("large") - F.array_min("large") > 0.01 * F.array_max("large"))).withColumn("g", F.array_max("c")["g"])
+    large = F.transform(F.filter(implied, lambda x: x["s"] >= 0.05), lambda x: x["g"])
+    g = F.array_max(implied)["g"]
+    torn = (F.size(large) > 1) & (F.array_max(large) - F.array_min(large) > 0.01 * F.array_max(large))
     occupied = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) - F.col("unknown_px")
-    got = rows.agg(F.count_if("torn").alias("torn"), ((F.max("g") - F.min("g")) / F.median("g")).alias("spread"), F.count_if(occupied > 1.005 * F.col("g")).alias("over"), F.count("*").alias("n"))
-    status = F.when(F.col("n") == 0, WARN).when(F.col("torn") > 0, FAIL).when(F.col("spread") > 0.02, WARN).otherwise(PASS)
-    return got.select(F.inline(F.array(
-        F.struct(F.lit("grid").alias("gate"), status.alias("status"), F.concat(_n("torn"), F.lit(" rows with two grids")).alias("detail")),
-        F.struct(F.lit("grid_accounting").alias("gate"), F.when(F.col("over") > 0, FAIL).otherwise(PASS).alias("status"), F.concat(_n("over"), F.lit(" rows over the grid")).alias("detail")),
-    )))
+    aggs = {"n_torn": F.count_if(torn), "spread": (F.max(g) - F.min(g)) / F.median(g), "n_over": F.count_if(occupied > 1.005 * g), "n_grids": F.count(g)}
+    status = F.when(F.col("n_grids") == 0, WARN).when(F.col("n_torn") > 0, FAIL).when(F.col("spread") > 0.02, WARN).otherwise(PASS)
+    return Scalar(aggs, [("grid", status, F.concat(_n("n_torn"), F.lit(" rows with two grids"))), ("grid_accounting", _bad("n_over"), F.concat(_n("n_over"), F.lit(" rows over the grid")))])
 
 
 def season_shape(df: DataFrame, season: str, doy: str, value: str, winter: tuple[int, int], summer: tuple[int, int], least: int = 5) -> DataFrame:
@@ -134,11 +152,13 @@ def movers(new: DataFrame, old: DataFrame, key: Sequence[str], value: str, top:
     return both.orderBy(F.abs("delta").desc(), *key).limit(top)
 
 
-def run_gates(df: DataFrame, gates: Sequence[Gate]) -> DataFrame:
-    out = None
+def run_gates(df: DataFrame, gates: Sequence[Gate | Scalar]) -> DataFrame:
+    """Rows of all gates; the scalar ones share one pass."""
+    scalar = [g for g in gates if isinstance(g, Scalar)]
+    out = fused(df, scalar) if scalar else None
     for g in gates:
-        rows = g(df)
-        out = rows if out is None else out.unionByName(rows)
+        if not isinstance(g, Scalar):
+            out = g(df) if out is None else out.unionByName(g(df))
     return out
 
 

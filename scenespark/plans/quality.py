@@ -30,8 +30,8 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summary(spark, sf_dir)
     inventory = s.where("season in (1996, 1997)").groupBy("season").agg(F.count("*").alias("expected")).withColumn("expected", F.col("expected") + F.when(F.col("season") == 1997, 1).otherwise(0))
     return gt.run_gates(s, [
-        gt.derived, lambda d: gt.no_duplicates(d, ["l_orderkey", "l_linenumber"], "no_duplicate_scenes"), lambda d: gt.no_duplicates(d, ["season", "doy"], "no_duplicate_dates"), lambda d: gt.tiles(d, "tile", ["22WDD"]),
-        gt.ranges, gt.indices, gt.zeroed_band, gt.grid, lambda d: gt.season_shape(d, "season", "doy", "ice", WINTER, SUMMER), lambda d: gt.scene_counts(d, "season", inventory),
+        gt.derived(), lambda d: gt.no_duplicates(d, ["l_orderkey", "l_linenumber"], "no_duplicate_scenes"), lambda d: gt.no_duplicates(d, ["season", "doy"], "no_duplicate_dates"), lambda d: gt.tiles(d, "tile", ["22WDD"]),
+        gt.ranges(), gt.indices(), gt.zeroed_band(), gt.grid(), lambda d: gt.season_shape(d, "season", "doy", "ice", WINTER, SUMMER), lambda d: gt.scene_counts(d, "season", inventory),
     ])
 
 
@@ -43,7 +43,7 @@ def repair_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left to repair, before and after."""
     s = summary(spark, sf_dir)
     fixed = gt.repair_derived(s)
-    wrong = lambda d, name: gt.derived(d).where("gate = 'derived_classified'").select(F.lit(name).alias("state"), "status")
+    wrong = lambda d, name: gt.derived()(d).where("gate = 'derived_classified'").select(F.lit(name).alias("state"), "status")
     return wrong(s, "before").unionByName(wrong(fixed, "after"))
 
 

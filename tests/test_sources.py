@@ -110,18 +110,18 @@ def test_gates_find_bad_rows(spark):
     base = {**good, **pct, "classified_px": 80, "usable": 1, "water_pct_clear": 0.25, "mean_ndwi_water": 0.6, "mean_ndsi_solid": 0.8, "mean_ndsi_light": 0.5}
     frame = lambda *rows: spark.createDataFrame([{**base, **r} for r in rows])
     one = lambda g, *rows: {r.gate: r.status for r in g(frame(*rows)).collect()}
-    assert one(gt.derived, {}) == {"derived_classified": "PASS", "derived_usable": "PASS"}
-    assert one(gt.derived, {"classified_px": 81, "usable": 0}) == {"derived_classified": "FAIL", "derived_usable": "FAIL"}
-    assert one(gt.ranges, {"solid_pct": 1.2})["ranges"] == "FAIL" and one(gt.indices, {"mean_ndwi_water": 2.1})["indices"] == "WARN"
-    assert one(gt.zeroed_band, {"mean_ndwi_water": 1.0, "water_pct_clear": 1.0})["zeroed_band"] == "FAIL" and one(gt.zeroed_band, {})["zeroed_band"] == "PASS"
-    assert one(gt.grid, {}) == {"grid": "PASS", "grid_accounting": "PASS"}
-    assert one(gt.grid, {"water_pct": 0.4})["grid"] == "FAIL"
+    assert one(gt.derived(), {}) == {"derived_classified": "PASS", "derived_usable": "PASS"}
+    assert one(gt.derived(), {"classified_px": 81, "usable": 0}) == {"derived_classified": "FAIL", "derived_usable": "FAIL"}
+    assert one(gt.ranges(), {"solid_pct": 1.2})["ranges"] == "FAIL" and one(gt.indices(), {"mean_ndwi_water": 2.1})["indices"] == "WARN"
+    assert one(gt.zeroed_band(), {"mean_ndwi_water": 1.0, "water_pct_clear": 1.0})["zeroed_band"] == "FAIL" and one(gt.zeroed_band(), {})["zeroed_band"] == "PASS"
+    assert one(gt.grid(), {}) == {"grid": "PASS", "grid_accounting": "PASS"}
+    assert one(gt.grid(), {"water_pct": 0.4})["grid"] == "FAIL"
     assert one(lambda d: gt.tiles(d.withColumn("t", F.lit("99XYZ")), "t", ["22WDD"]), {})["tiles"] == "FAIL"
     assert one(lambda d: gt.no_duplicates(d, ["tile_id"], "dup"), {}, {})["dup"] == "FAIL"
     bad = frame({"classified_px": 81})
     fixed = gt.repair_derived(bad)
     gt.assert_measured_unchanged(bad, fixed, ["solid_px", "light_px"])
-    assert gt.verdict(gt.derived(fixed)).first().verdict == "ACCEPT" and gt.verdict(gt.derived(bad)).first().verdict == "REJECT"
+    assert gt.verdict(gt.derived()(fixed)).first().verdict == "ACCEPT" and gt.verdict(gt.derived()(bad)).first().verdict == "REJECT"
     with pytest.raises(ValueError):
         gt.assert_measured_unchanged(bad, fixed.withColumn("solid_px", F.lit(1).cast("long")), ["solid_px"])
 
