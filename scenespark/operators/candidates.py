@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenespark.operators.calendar import piecewise
+from scenespark.operators.ordered import percentiles
 
 
 def by_role(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -82,7 +83,7 @@ def brightness_ratio(df: DataFrame, bands: Sequence[str], near: float = 0.05) ->
     """df with brightness (mean of the bands), ratio to its median over all rows, and is_near."""
     mean = sum((F.col(b) for b in bands[1:]), F.col(bands[0])) / len(bands)
     rows = df.withColumn("brightness", mean)
-    typical = rows.agg(F.median("brightness").alias("typical__"))
+    typical = percentiles(rows, "brightness", [0.5]).select(F.col("value").alias("typical__"))
     out = rows.crossJoin(F.broadcast(typical)).withColumn("ratio", F.col("brightness") / F.col("typical__"))  # one row
     return out.withColumn("is_near", F.abs(F.col("ratio") - 1) <= near).drop("typical__")
 

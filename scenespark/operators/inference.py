@@ -7,18 +7,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenespark.functions.special import normal_two_sided, student_two_sided
+from scenespark.operators.ordered import running_sum
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1; equal values share the mean of theirs. Counts of distinct values are summed, so a value
     that many rows share is one row in the sort."""
     n = df.groupBy(*by, value).agg(F.count("*").alias("n__"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = n.withColumn(out, F.sum("n__").over(w) - (F.col("n__") - 1) / 2).drop("n__")
+    ranks = running_sum(n, by, [value], "n__", out).withColumn(out, F.col(out) - (F.col("n__") - 1) / 2).drop("n__")
     return df.join(ranks, [*by, value])
 
 
@@ -28,9 +28,7 @@ def auc(df: DataFrame, value: str, positive: Column, by: Sequence[str] = ()) ->
     From counts of distinct values, so equal values and a hot class cost nothing more."""
     rows = df.where(F.col(value).isNotNull() & positive.isNotNull())
     c = rows.groupBy(*by, value).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("q").over(w), F.lit(0))
-    got = c.withColumn("wins", F.col("p") * (below + F.col("q") / 2)).groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"))
+    got = running_sum(c, by, [value], "q", "upto").withColumn("wins", F.col("p") * (F.col("upto") - F.col("q") / 2)).groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"))
     return got.select(*by, F.try_divide(F.col("wins"), F.nullif(F.col("n_positive").cast("double") * F.col("n_negative"), F.lit(0.0))).alias("auc"), "n_positive", "n_negative")
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenespark.operators.ordered import percentiles, running_sum  # noqa: F401
+
 
 def histogram(df: DataFrame, value: str, bins: int, lo: float, hi: float, by: Sequence[str] = ()) -> DataFrame:
     """by, bin, n for every bin from 0, also empty ones; the last bin holds its upper edge. Values outside,
@@ -105,30 +107,21 @@ def score_sets(df: DataFrame, candidates: dict[str, Column], label: Column, weig
     return one.select(F.inline(rows))
 
 
-def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """One row a percentile (linear interpolation)."""
-    got = df.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, ps))).alias("v"))
-    return got.select(*by, F.posexplode("v").alias("i", "value")).select(*by, F.get(F.array(*map(F.lit, ps)), F.col("i")).alias("p"), "value")
-
-
 def rank_chunks(df: DataFrame, order: Sequence[str], values: Sequence[str], n: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Medians of the values in n chunks by rank; the first chunks are the larger ones.
 
-    Ranks over a whole table come from a range sort: rows are dealt to ranges, each is numbered by itself and
-    starts where the ranges before it end, so no task holds all rows."""
+    Places in a whole table come from a range sort (see `ordered`); `order` is a total order."""
     if by:
         chunk = F.ntile(n).over(Window.partitionBy(*by).orderBy(*order))
         numbered = df.withColumn("chunk", chunk)
     else:
-        part = df.select(*order, *[v for v in values if v not in order]).repartitionByRange(*order).withColumn("part__", F.spark_partition_id()).sortWithinPartitions(*order)
-        part = part.withColumn("nth__", F.row_number().over(Window.partitionBy("part__").orderBy(*order)))
-        sizes = part.groupBy("part__").agg(F.count("*").alias("size__"))
-        before = sizes.withColumn("before__", F.sum("size__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size__")).withColumn("all__", F.sum("size__").over(Window.partitionBy()))
-        k, rest = F.floor(F.col("all__") / n), F.col("all__") % n
-        i = F.col("nth__") + F.col("before__") - 1
+        one = df.select(*order, *[v for v in values if v not in order]).withColumn("one__", F.lit(1))
+        nth = running_sum(one, [], order, "one__", "nth__")
+        rows = nth.crossJoin(F.broadcast(nth.agg(F.max("nth__").alias("all__"))))  # one row
+        k, rest, i = F.floor(F.col("all__") / n), F.col("all__") % n, F.col("nth__") - 1
         large = rest * (k + 1)
         chunk = F.when(i < large, F.floor(i / (k + 1))).otherwise(rest + F.floor((i - large) / F.greatest(k, F.lit(1)))) + 1
-        numbered = part.join(F.broadcast(before), "part__").withColumn("chunk", chunk.cast("int"))  # a row a partition
+        numbered = rows.withColumn("chunk", chunk.cast("int"))
     return numbered.groupBy(*by, "chunk").agg(F.count("*").alias("n"), *(F.median(v).alias(v) for v in values))
 
 
