@@ -15,11 +15,19 @@ WS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of the scanning operators: no ASCII but digits and small letters, once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased, all else as it is (lower() would change other alphabets too)."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased, all else as it is. lower() is faster but changes other alphabets, so it takes the
+    texts that have none."""
+    return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def split_words(low: Column) -> Column:
+    """The words (see WORD) of a text in which A-Z are lower-cased. Splitting at what parts them is some
+    twenty times as fast as extracting them."""
+    return F.array_remove(F.split(low, BREAK, -1), "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import WORD, ascii_lower, free_name, table
+from scenespark.llm.common import ascii_lower, free_name, split_words, table
 
 WINDOW, EQUAL = 13, 11
 MASKS = ("11101011", "110100111")
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return split_words(ascii_lower(F.coalesce(text, F.lit(""))))
 
 
 def _hashes(words: Column, mask: str) -> Column:
