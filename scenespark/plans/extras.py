@@ -75,9 +75,21 @@ def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(rasters.with_mask(win, mask))
 
 
-QUERIES = {f.__name__: f for f in (role_candidates, control_groups, scrubbed_counts, brightness, tracking_gate, thermal_stats, monthly_anomaly, nearest_targets, sensor_bands, raster_window)}
+SQL_TEXT = """WITH daily AS (SELECT season, doy, avg(ice_classified) AS frac FROM share_of WHERE share >= 0.3 AND doy BETWEEN 53 AND 180 GROUP BY season, doy),
+s AS (SELECT season, avg(frac) AS value, count(frac) AS n_days FROM daily GROUP BY season) SELECT season, round(value, 6) AS value, n_days FROM s"""
+
+
+def season_table_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text that the other engine runs, over the registered views."""
+    from scenespark.sql import query
+
+    return query(spark, sf_dir, SQL_TEXT)
+
+
+QUERIES = {f.__name__: f for f in (role_candidates, control_groups, scrubbed_counts, brightness, tracking_gate, thermal_stats, monthly_anomaly, nearest_targets, sensor_bands, raster_window, season_table_sql)}
 _RATIO = "r AS (SELECT label, nir, (green + nir + swir) / 3 / (SELECT median((green + nir + swir) / 3) FROM cell) AS ratio FROM cell)"
 ORACLE_SQL = {
+    "season_table_sql": f"WITH {SCENES}, r AS ({SQL_TEXT}) SELECT * FROM r",
     "role_candidates": f"""WITH {SCENES}, c AS (SELECT 'suspect' AS role, * FROM share_of WHERE doy BETWEEN 53 AND 105 AND ice_classified < 0.65 UNION ALL SELECT 'ice', * FROM share_of WHERE doy BETWEEN 53 AND 105 AND ice_classified > 0.97
   UNION ALL SELECT 'water', * FROM share_of WHERE doy BETWEEN 182 AND 243 AND ice_classified < 0.7),
 g AS (SELECT role, flag, count(*) AS n, greatest(60 // count(DISTINCT season), 1) AS k FROM c GROUP BY role, flag),
