@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import WORD, ascii_lower, table, written
+from scenespark.llm.common import WORD, ascii_lower, split_words, table, written
 
 THRESHOLD = 0.9
 
@@ -47,10 +47,6 @@ TEMPLATES = (
 )
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-
 def _tokens(text: str) -> list[str]:
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     return sorted(set(re.findall(WORD, low)))
@@ -84,7 +80,7 @@ def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold:
     universe = sorted({t for *_, toks, _ in sets for t in toks})
     least = min(need for *_, need in sets)
     lines = df.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1)).alias("block", "line"))
-    blocks = written(lines.select("doc", "body", "block", F.array_intersect(_words(F.col("line")), _array(universe)).alias("has")).where(F.size("has") >= least), "blocks")
+    blocks = written(lines.select("doc", "body", "block", F.array_intersect(split_words(F.col("line")), _array(universe)).alias("has")).where(F.size("has") >= least), "blocks")
 
     counts = blocks.select(F.explode("has").alias("t")).groupBy("t").count().collect()  # a row for each template token at most
     often = {r[0]: r[1] for r in counts}
@@ -118,7 +114,7 @@ def scan(df: DataFrame, phrases: Iterable[Template] = PHRASES, templates: Iterab
     no places, empty labels, score 0. Repeated rows each have their row; a null doc_id stays null.
     """
     low = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("body_"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
-    base = low.withColumn("words", _words(F.col("low")))
+    base = low.withColumn("words", split_words(F.col("low")))
     places, named = [], []
     for label, phrase in phrases:
         ws = phrase.split()
