@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import table, written
+from scenespark.llm.common import free_name, table, written
 from scenespark.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -221,10 +221,10 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One document of each group: the row of its smallest doc_id (the first of repeated rows). Groups of
     rows without doc_id, and of nothing else, keep one row too."""
     keep = near_groups(df, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key = F.col(doc_id).cast("long")
-    kept = df.join(keep.select(F.col("doc_id").alias("keep__")).hint("shuffle_hash"), key.eqNullSafe(F.col("keep__")), "left_semi")
+    key, own, nth = F.col(doc_id).cast("long"), free_name(df, "keep__"), free_name(df, "nth__")
+    kept = df.join(keep.select(F.col("doc_id").alias(own)).hint("shuffle_hash"), key.eqNullSafe(F.col(own)), "left_semi")
     first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return kept.withColumn("nth__", F.row_number().over(first)).where("nth__ = 1").drop("nth__")
+    return kept.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
