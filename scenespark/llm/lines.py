@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.llm.common import WS, ascii_lower, free_name, shared_dir, table
+from scenespark.llm.common import WS, ascii_lower, free_name, table, written
 
 #: Rows without doc_id stand for one document that comes after all others.
 LAST = 2**63 - 1
@@ -71,9 +71,9 @@ def _carried(rows: list) -> dict[int, tuple[int, int, int]]:
 
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
     """doc, body, pos of every line that is held first by a document with a smaller doc_id."""
-    shared_dir(df.sparkSession)
     by = ["h1", "h2", "doc"]
-    rows = line_hashes(df, doc_id, text, min_chars).repartitionByRange(*by).sortWithinPartitions(*by, "body", "pos").checkpoint(eager=True)
+    hashed = written(line_hashes(df, doc_id, text, min_chars), "lines")  # else finding the ranges reads all texts once more
+    rows = hashed.repartitionByRange(*by).sortWithinPartitions(*by, "body", "pos").checkpoint(eager=True)
     carried = _carried(rows.mapInArrow(_ends, "part int, f1 long, f2 long, l1 long, l2 long, holder long").collect())
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
