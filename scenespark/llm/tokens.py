@@ -304,7 +304,7 @@ def pack(df: DataFrame, path: str, most: int = 2048, end_id: int = 1, doc_id: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "token_ids"][: len(cols)])
 
     pieces = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
-    k = F.log2(F.col("length")).cast("long")
+    k = (F.length(F.bin("length")) - 1).cast("long")
     out = pieces.withColumn("sequence_id", F.shiftleft(k, 58) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.col("length").cast("int"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *(["token_ids"] if with_ids else []))
 
