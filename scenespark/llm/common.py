@@ -58,6 +58,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: 64-bit words of a bit filter: 2 MB, whatever the input.
+FILTER_WORDS = 1 << 18
+
+
+def bit_filter(keys: DataFrame, key: str, name: str, words: int = FILTER_WORDS) -> DataFrame:
+    """One row with one array of longs (column `name`): a bit is set for the slot of every key (a long). Its size is fixed, so
+    it can be broadcast; with more keys than slots it merely lets more rows through."""
+    slot = F.pmod(F.col(key), F.lit(words * 64))
+    some = keys.select(F.shiftright(slot, 6).alias("w__"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("b__")).groupBy("w__").agg(F.bit_or("b__").alias("b__"))
+    every = keys.sparkSession.range(words).join(some, F.col("id") == F.col("w__"), "left").select("id", F.coalesce("b__", F.lit(0).cast("long")).alias("b__"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b__"))), lambda x: x["b__"]).alias(name))
+
+
+def may_hold(key: Column, name: str, words: int = FILTER_WORDS) -> Column:
+    """Whether the filter could hold a key: never false for one that it does."""
+    slot = F.pmod(key, F.lit(words * 64))
+    return F.getbit(F.get(name, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that df doesn't have yet (Spark compares names without case)."""
     have = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import ascii_lower, free_name, split_words, table
+from scenespark.llm.common import ascii_lower, bit_filter, free_name, may_hold, split_words, table, written
 
 WINDOW, EQUAL = 13, 11
 MASKS = ("11101011", "110100111")
@@ -72,9 +72,11 @@ def overlaps(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
     own = _seeds(docs.withColumn("hashed", _hashed("words")), [*MASKS, *whole], ["doc", "body"])
     hits = own.join(known.withColumnRenamed("pos", "item_pos"), "seed")
     alignments = hits.groupBy("doc", "body", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.first("item_words").alias("item_words"))
-    proposed = alignments.groupBy("doc", "body").agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("proposed"))
+    proposed = written(alignments.groupBy("doc", "body").agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("proposed")), "proposed")
 
+    # only texts that could have an alignment are shuffled to it
     there = df.select(F.col(doc_id).alias("doc_"), F.xxhash64(F.col(text)).alias("body_"), F.col(text).alias("text_"))
+    there = there.join(F.broadcast(bit_filter(proposed, "body", "bits")), may_hold(F.col("body_"), "bits"), "left_semi")
     both = there.join(proposed.hint("shuffle_hash"), F.col("doc_").eqNullSafe(F.col("doc")) & (F.col("body_") == F.col("body")))
     both = both.select("doc", "body", "proposed", words_of(F.col("text_")).alias("words"))
 
@@ -101,10 +103,14 @@ def overlaps(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
 def decontaminate(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of df that hold no window of a benchmark item; all columns as they are. Repeated rows stay or
     go together."""
-    found = overlaps(df, bench, doc_id, text, **how).select("doc", "body").distinct()
+    found = written(overlaps(df, bench, doc_id, text, **how).select("doc", "body").distinct(), "leaks")
     doc, body = free_name(df, "doc"), free_name(df, "body")
     same = F.col(doc_id).eqNullSafe(F.col(doc)) & F.xxhash64(F.col(text)).eqNullSafe(F.col(body))
-    return df.join(found.select(F.col("doc").alias(doc), F.col("body").alias(body)).hint("shuffle_hash"), same, "left_anti")
+    bits = free_name(df, "bits")
+    could, hashed = F.broadcast(bit_filter(found, "body", bits)), may_hold(F.xxhash64(F.col(text)), bits)
+    # rows that can't be among them are passed on where they are
+    rest = df.join(could, hashed, "left_semi").join(found.select(F.col("doc").alias(doc), F.col("body").alias(body)).hint("shuffle_hash"), same, "left_anti")
+    return df.join(could, hashed, "left_anti").unionByName(rest)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
