@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import free_name, table, written
+from scenespark.llm.common import bit_filter, free_name, may_hold, table, written
 from scenespark.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -220,11 +220,16 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tree_
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: the row of its smallest doc_id (the first of repeated rows). Groups of
     rows without doc_id, and of nothing else, keep one row too."""
-    keep = near_groups(df, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    groups = written(near_groups(df, doc_id, text).select("doc_id", "component_id"), "groups")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
     key, own, nth = F.col(doc_id).cast("long"), free_name(df, "keep__"), free_name(df, "nth__")
-    kept = df.join(keep.select(F.col("doc_id").alias(own)).hint("shuffle_hash"), key.eqNullSafe(F.col(own)), "left_semi")
+    bits = free_name(df, "bits")
+    could, hashed = F.broadcast(bit_filter(ids.where("n > 1 or not keep").select(F.xxhash64("doc_id").alias("h")), "h", bits)), may_hold(F.xxhash64(key), bits)
+    # rows that are neither repeated nor to go are passed on where they are
+    kept = df.join(could, hashed, "left_semi").join(ids.where("keep").select(F.col("doc_id").alias(own)).hint("shuffle_hash"), key.eqNullSafe(F.col(own)), "left_semi")
     first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return kept.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    once = kept.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    return df.join(could, hashed, "left_anti").unionByName(once)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
