@@ -58,8 +58,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: 64-bit words of a bit filter: 2 MB, whatever the input.
-FILTER_WORDS = 1 << 18
+#: 64-bit words of a bit filter: 512 kB, whatever the input.
+FILTER_WORDS = 1 << 16
 
 
 def bit_filter(keys: DataFrame, key: str, name: str, words: int = FILTER_WORDS) -> DataFrame:
