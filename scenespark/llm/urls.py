@@ -11,7 +11,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import tempfile
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -22,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from scenespark.llm.common import LOWER, UPPER, free_name, table
+from scenespark.llm.common import LOWER, UPPER, free_name, shared_dir, table
 
 FOLD = str.maketrans(UPPER, LOWER)
 VERDICTS = ("allow", "block")
@@ -92,16 +91,18 @@ def index(path: str) -> Index:
 
 
 def shipped(spark: SparkSession, rules: Iterable[Rule], max_bytes: int = 512 << 20) -> str:
-    """Writes the index and hands it to every executor; its name there. The size is checked."""
+    """Writes the index to the shared folder and hands it to every executor; its name there. The size is
+    checked."""
     data = index_bytes(rules)
     if len(data) > max_bytes:
         raise ValueError(f"the index takes {len(data)} bytes; max_bytes is {max_bytes}")
     name = f"url-rules-{hashlib.sha256(data).hexdigest()[:32]}.idx"
-    path = os.path.join(tempfile.mkdtemp(prefix="scenespark-"), name)
-    with open(path, "wb") as f:
-        f.write(data)
     if not any(x.rstrip("/").endswith(name) for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(data))
+        out.close()
+        spark.sparkContext.addFile(path.toString())
     return name
 
 
