@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm import decontam, lines, quality, simhash, tokens
+from scenespark.llm import decontam, jaccard, lines, quality, simhash, tokens
 from scenespark.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the document with the smallest doc_id of each group stays."""
-    return simhash.near_dedup(docs.select(*COLUMNS))
+    """Near-dedup: the document with the smallest doc_id of each group stays. Texts are linked by the exact
+    similarity of their 5-word shingles: near copies differ in up to a dozen bits of their SimHash, and no
+    sharding of 64 bits covers that."""
+    return simhash.near_dedup(docs.select(*COLUMNS), grouped=jaccard.similar_groups)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

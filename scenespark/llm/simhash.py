@@ -11,7 +11,7 @@ as pairs: at most one link a fingerprint.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,10 +217,11 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tree_
     return marks.join(of_fp.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", grouped: Callable[..., DataFrame] = near_groups) -> DataFrame:
     """One document of each group: the row of its smallest doc_id (the first of repeated rows). Groups of
-    rows without doc_id, and of nothing else, keep one row too."""
-    groups = written(near_groups(df, doc_id, text).select("doc_id", "component_id"), "groups")
+    rows without doc_id, and of nothing else, keep one row too. grouped: what makes the groups, near_groups or
+    jaccard.similar_groups."""
+    groups = written(grouped(df, doc_id, text).select("doc_id", "component_id"), "groups")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
     key, own, nth = F.col(doc_id).cast("long"), free_name(df, "keep__"), free_name(df, "nth__")
     bits = free_name(df, "bits")
