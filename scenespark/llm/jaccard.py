@@ -135,8 +135,9 @@ def _links(marks: DataFrame, texts: DataFrame, size: int, similarity: float) ->
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, one_in: int = 64, least: int = 16, most: int = 50_000) -> DataFrame:
-    """(doc_id, body, component_id) for every row of df: component_id is the smallest doc_id that is reached
-    over links of at least `similarity`, its own included; body is a hash of the text.
+    """(doc_id, body, component_id, root) for every row of df: component_id is the smallest doc_id that is
+    reached over links of at least `similarity`, its own included; body is a hash of the text, root tells
+    components of one component_id, or of none, apart.
 
     Null, empty and blank texts are alike. A null doc_id stays null and takes no part in the minimum; a
     component of none but such rows has a null component_id.
@@ -147,4 +148,4 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     roots = components(_links(marks, texts, size, similarity)).withColumnRenamed("node", "of")
     linked = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(linked.join(names, "root").select("node", "component_id"), "node").select("doc_id", "body", "component_id")
+    return marks.join(linked.join(names, "root").select("node", "root", "component_id"), "node").select("doc_id", "body", "component_id", "root")

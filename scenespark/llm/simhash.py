@@ -61,14 +61,14 @@ def _bits(total: np.ndarray, n: int) -> int:
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null text: like empty text, 0."""
+    """(doc_id, fp, body): the fingerprint as a signed long, and a hash of the text. Null text: like empty text, 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.asarray([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "body"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body")).mapInArrow(run, "doc_id long, fp long, body long")
 
 
 class BKTree:
@@ -199,8 +199,9 @@ def near_links(fps: DataFrame, tree_rows: int = 4096) -> DataFrame:
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tree_rows: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of df: component_id is the smallest doc_id that is reached
-    over links of at most 2 differing bits, its own included.
+    """(doc_id, fp, component_id, body, root) for every row of df: component_id is the smallest doc_id that is
+    reached over links of at most 2 differing bits, its own included; body is a hash of the text, root tells
+    components of one component_id, or of none, apart.
 
     Empty, blank and null texts have fingerprint 0 and link like any other. Texts of one or two words are one
     shingle. Rows repeated or with one fingerprint share a component. A null doc_id stays null and takes no
@@ -212,23 +213,26 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tree_
     roots = components(near_links(nodes.select("fp"), tree_rows))
     linked = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = linked.join(names, "root").select("fp", "component_id")
-    alone = nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("least").alias("component_id"))
-    return marks.join(of_fp.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
+    of_fp = linked.join(names, "root").select("fp", "root", "component_id")
+    alone = nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return marks.join(of_fp.unionByName(alone), "fp").select("doc_id", "fp", "component_id", "body", "root")
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", grouped: Callable[..., DataFrame] = near_groups) -> DataFrame:
-    """One document of each group: the row of its smallest doc_id (the first of repeated rows). Groups of
-    rows without doc_id, and of nothing else, keep one row too. grouped: what makes the groups, near_groups or
-    jaccard.similar_groups."""
-    groups = written(grouped(df, doc_id, text).select("doc_id", "component_id"), "groups")
-    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
-    key, own, nth = F.col(doc_id).cast("long"), free_name(df, "keep__"), free_name(df, "nth__")
-    bits = free_name(df, "bits")
-    could, hashed = F.broadcast(bit_filter(ids.where("n > 1 or not keep").select(F.xxhash64("doc_id").alias("h")), "h", bits)), may_hold(F.xxhash64(key), bits)
-    # rows that are neither repeated nor to go are passed on where they are
-    kept = df.join(could, hashed, "left_semi").join(ids.where("keep").select(F.col("doc_id").alias(own)).hint("shuffle_hash"), key.eqNullSafe(F.col(own)), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    """One row of each group: that of its smallest doc_id and, of rows with this id, of the least hash of the
+    text; one of repeated rows. A row without doc_id stays only where no row of its group has one. grouped: what
+    makes the groups, near_groups or jaccard.similar_groups."""
+    groups = written(grouped(df, doc_id, text).select("doc_id", "body", "root"), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("k")
+    found = written(groups.groupBy("root").agg(F.count("*").alias("n"), least), "firsts")
+    key, body, nth = F.col(doc_id).cast("long"), F.xxhash64(F.col(text)), free_name(df, "nth__")
+    own, own_body, bits = free_name(df, "keep__"), free_name(df, "body__"), free_name(df, "bits")
+    several = groups.join(found.where("n > 1").select("root"), "root", "left_semi").select(F.xxhash64("doc_id", "body").alias("h"))
+    could, hashed = F.broadcast(bit_filter(several, "h", bits)), may_hold(F.xxhash64(key, body), bits)
+    # rows that are alone in their group are passed on where they are
+    keep = found.select(F.col("k.doc_id").alias(own), F.col("k.body").alias(own_body)).hint("shuffle_hash")
+    kept = df.join(could, hashed, "left_semi").join(keep, key.eqNullSafe(F.col(own)) & (body == F.col(own_body)), "left_semi")
+    first = Window.partitionBy(key, body).orderBy(body)
     once = kept.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return df.join(could, hashed, "left_anti").unionByName(once)
 
