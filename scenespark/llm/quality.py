@@ -7,8 +7,8 @@ documents are kept.
 Features are the hashed words of a text, their first STEM bytes, its runs of symbols and a few shape
 classes, each present or not.
 The model is fitted on a bounded sample of labelled rows (`sample_rows`, those whose ids hash lowest): hashed
-features whose frequency differs between grades beyond chance (`z_least`, at most `most_features`) get a
-weight, by gradient steps on the penalised likelihood. Every document is scored over its whole text.
+features whose frequency differs between grades beyond chance (`z_least` deviations) get a weight, by gradient
+steps on the penalised likelihood. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.llm.common import free_name, table
+from scenespark.llm.common import free_name, table, written
 
 BINS = 1 << 20
 STEM = 5
@@ -105,27 +105,30 @@ class Scorer:
         return math.fsum(weights[b] for b in hits)
 
 
-def fit(grades: np.ndarray, bins: list[np.ndarray], n_grades: int, most_features: int = 512, z_least: float = 5.0, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
-    """Maximum penalised likelihood. grades: 0 … n_grades - 1; bins: the distinct features of each row."""
-    n, below = len(grades), [grades < j for j in range(1, n_grades)]
-    df, counts = np.zeros(BINS), np.zeros((n_grades - 1, BINS))
-    for a in range(0, n, 1000):  # a thousand rows at a time, so the driver holds few copies of the sample
-        part = bins[a : a + 1000]
-        flat, size = np.concatenate(part), [len(b) for b in part]
-        df += np.bincount(flat, minlength=BINS)
-        for k, low in zip(counts, below):
-            k += np.bincount(flat, np.repeat(low[a : a + 1000], size), BINS)
-    best = np.zeros(BINS)
-    for k, low in zip(counts, below):  # does a feature part those below j from the others?
-        p = low.mean()
+def telling(df: np.ndarray, below: list[np.ndarray], n: int, n_below: list[int], least_rows: int = 5) -> np.ndarray:
+    """How far, in deviations, each feature's rows are from an even share of the grades below some grade. df: its
+    rows; below: of them those below grade 1, 2 …; n and n_below: of all rows. 0 in under least_rows rows."""
+    best = np.zeros(len(df))
+    for k, low in zip(below, n_below):
+        p = low / n
         with np.errstate(divide="ignore", invalid="ignore"):
             z = (np.abs(k - df * p) - 0.5) / np.sqrt(df * p * (1 - p) * (1 - df / n) + 1e-9)
-        best = np.maximum(best, np.where((df >= 5) & (df < n), np.nan_to_num(z), 0))
-    chosen = np.argsort(-best, kind="stable")[:most_features]
-    chosen = np.sort(chosen[best[chosen] >= z_least])
-    x = np.zeros((n, len(chosen)), np.float32)
-    for i, b in enumerate(bins):
-        x[i] = np.isin(chosen, b, assume_unique=True)
+        best = np.maximum(best, np.where((df >= least_rows) & (df < n), np.nan_to_num(z), 0))
+    return best
+
+
+def fit(grades: np.ndarray, bins: list[np.ndarray], n_grades: int, z_least: float = 5.0, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
+    """Maximum penalised likelihood. grades: 0 … n_grades - 1; bins: the distinct features of each row, of which
+    those get a weight that `telling` puts at z_least or more."""
+    n, sizes = len(grades), np.asarray([len(b) for b in bins])
+    seen, flat = np.unique(np.concatenate([*bins, np.zeros(0, np.int64)]), return_inverse=True)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    df = np.bincount(flat, minlength=len(seen))
+    below = [np.bincount(flat[(grades < j)[row]], minlength=len(seen)) for j in range(1, n_grades)]
+    best = telling(df, below, n, [int((grades < j).sum()) for j in range(1, n_grades)])
+    place = np.where(best >= z_least, np.cumsum(best >= z_least) - 1, -1)
+    chosen, on = seen[best >= z_least], place[flat] >= 0
+    row, col = row[on], place[flat[on]].astype(np.int32)
     share = (np.asarray([(grades < j).sum() for j in range(1, n_grades)]) + 0.5) / (n + 1)
     start = np.log(share / (1 - share))
     theta = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-3)), np.zeros(len(chosen))])
@@ -133,7 +136,7 @@ def fit(grades: np.ndarray, bins: list[np.ndarray], n_grades: int, most_features
     k = n_grades - 1
     for t in range(1, steps + 1):  # Adam on the whole sample, with falling steps
         cuts = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:k]))])
-        score = x @ theta[k:].astype(np.float32)
+        score = np.bincount(row, theta[k:][col], n)
         s = 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -50, 50)))  # P(grade <= j)
         cum = np.column_stack([np.zeros(n), s, np.ones(n)])
         slope = cum * (1 - cum)
@@ -144,7 +147,7 @@ def fit(grades: np.ndarray, bins: list[np.ndarray], n_grades: int, most_features
         for j in range(k):
             g_cut[j] = (down[grades == j + 1].sum() - up[grades == j].sum()) / n
         g_score = (up - down) / n
-        g = np.concatenate([[g_cut.sum()], [np.exp(theta[i]) * g_cut[i:].sum() for i in range(1, k)], x.T @ g_score.astype(np.float32) + penalty * theta[k:]])
+        g = np.concatenate([[g_cut.sum()], [np.exp(theta[i]) * g_cut[i:].sum() for i in range(1, k)], np.bincount(col, g_score[row], len(chosen)) + penalty * theta[k:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     cuts = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:k]))])
@@ -156,9 +159,11 @@ def graded(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2)
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text", **how) -> OrdinalModel | None:
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 20_000, z_least: float = 5.0, doc_id: str = "doc_id", text: str = "text", **how) -> OrdinalModel | None:
     """Fits on documents of `ratings` (doc_id, grade). Rows without id or grade don't count; of several
-    ratings of one document the lowest does. None if fewer than two grades occur."""
+    ratings of one document the lowest does. Null and empty texts have the features of their shape. None if fewer
+    than two grades occur. Features are counted and chosen on the executors; the driver gets the counts (at most
+    BINS) and, of each sampled row, the chosen features that it has."""
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -168,15 +173,27 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
             rows = [np.asarray(bins_of(t.as_py()), np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "bins"])
 
-    # the sample is bounded by sample_rows, and so is what is broadcast and what comes back
-    got = texts.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(hash_texts, "grade int, bins array<int>").toArrow()
-    grades = got.column("grade").to_numpy()
-    if len(set(grades.tolist())) < 2:
+    # the sample is bounded by sample_rows, and so is what is broadcast
+    got = written(texts.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(hash_texts, "grade int, bins array<int>"), "rated")
+    of_grade = {r[0]: r[1] for r in got.groupBy("grade").count().collect()}
+    if len(of_grade) < 2:
         return None
-    bins = [x.values.to_numpy() for x in got.column("bins")]
-    del got
+    n, cuts = sum(of_grade.values()), range(1, n_grades)
+    counts = got.select("grade", F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), *(F.count_if(F.col("grade") < j).alias(f"below_{j}") for j in cuts))
+    counts = counts.where("n >= 5").toArrow()  # see telling()
+    column = lambda c: counts.column(c).to_numpy()
+    best = telling(column("n"), [column(f"below_{j}") for j in cuts], n, [sum(c for g, c in of_grade.items() if g < j) for j in cuts])
+    chosen = np.sort(column("bin")[best >= z_least])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [x.values.to_numpy() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[np.isin(r, chosen, assume_unique=True)] for r in rows], pa.list_(pa.int32()))], names=["grade", "bins"])
+
+    small = got.mapInArrow(pick, got.schema).toArrow()
+    grades, bins = small.column("grade").to_numpy(), [x.values.to_numpy() for x in small.column("bins")]
     order = np.lexsort(([xxhash.xxh64_intdigest(b.tobytes()) for b in bins], grades))
-    return fit(grades[order], [bins[i] for i in order], n_grades, **how)
+    return fit(grades[order], [bins[i] for i in order], n_grades, z_least, **how)
 
 
 def classify(df: DataFrame, model: OrdinalModel | None, least: float = 0.5, text: str = "text") -> DataFrame:
