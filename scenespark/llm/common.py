@@ -58,13 +58,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: 64-bit words of a bit filter: 512 kB, whatever the input.
-FILTER_WORDS = 1 << 16
+#: 64-bit words of a bit filter: 512 kB unless sized by its keys, and 8 MB at most.
+FILTER_WORDS, MOST_WORDS = 1 << 16, 1 << 20
+
+
+def filter_words(keys: DataFrame) -> int:
+    """Size of a filter for so many keys: eight slots a key as long as that is at most MOST_WORDS. A filter that
+    is full beyond that lets rows through that could have stayed: most rows are concerned then."""
+    return min(MOST_WORDS, max(1024, 1 << (keys.count() // 8).bit_length()))
 
 
 def bit_filter(keys: DataFrame, key: str, name: str, words: int = FILTER_WORDS) -> DataFrame:
-    """One row with one array of longs (column `name`): a bit is set for the slot of every key (a long). Its size is fixed, so
-    it can be broadcast; with more keys than slots it merely lets more rows through."""
+    """One row with one array of longs (column `name`): a bit is set for the slot of every key (a long). Its size is
+    bounded, so it can be broadcast; with more keys than slots it merely lets more rows through."""
     slot = F.pmod(F.col(key), F.lit(words * 64))
     some = keys.select(F.shiftright(slot, 6).alias("w__"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("b__")).groupBy("w__").agg(F.bit_or("b__").alias("b__"))
     every = keys.sparkSession.range(words).join(some, F.col("id") == F.col("w__"), "left").select("id", F.coalesce("b__", F.lit(0).cast("long")).alias("b__"))

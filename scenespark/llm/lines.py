@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.llm.common import WS, ascii_lower, free_name, table, written
+from scenespark.llm.common import WS, ascii_lower, bit_filter, filter_words, free_name, may_hold, table, written
 
 #: Rows without doc_id stand for one document that comes after all others.
 LAST = 2**63 - 1
@@ -136,9 +136,13 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     """
     new = [free_name(df, c) for c in ("n_lines", "n_dropped", "kept_sha256")]
     doc, body, keep = (free_name(df, c) for c in ("doc__", "body__", "keep__"))
-    maps = keep_bitmaps(df, doc_id, text, min_chars).select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("keep").alias(keep))
+    maps = written(keep_bitmaps(df, doc_id, text, min_chars), "bitmaps").select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("keep").alias(keep))
     keyed = df.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), body: F.xxhash64(F.col(text))})
-    joined = keyed.join(maps.hint("shuffle_hash"), [doc, body], "left").select(*df.columns, keep)
+    bits = free_name(df, "bits")
+    could, hashed = F.broadcast(bit_filter(maps.select(body), body, bits, size := filter_words(maps))), may_hold(F.col(body), bits, size)
+    # texts that lose no line are passed on where they are
+    rest = keyed.join(could, hashed, "left_anti").withColumn(keep, F.lit(None).cast("binary"))
+    joined = keyed.join(could, hashed, "left_semi").join(maps.hint("shuffle_hash"), [doc, body], "left").select(*df.columns, keep).unionByName(rest.select(*df.columns, keep))
     at, k = df.columns.index(text), len(df.columns)
     kinds = [T.LongType(), T.LongType(), T.StringType()]
     schema = T.StructType([T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(df.schema.fields)] + [T.StructField(n, t) for n, t in zip(new, kinds)])
