@@ -16,10 +16,10 @@ def brute(docs, items):
         w = words(t)
         for i, x in items:
             v = words(x)
-            if not v:
+            if len(v) < 5:
                 continue
-            n = min(len(v), dc.WINDOW)
-            enough = dc.EQUAL if len(v) >= dc.WINDOW else len(v)
+            n = min(len(v), 13)
+            enough = 11 if n == 13 else n - 1 if n >= 8 else n
             for shift in range(-len(v), len(w)):
                 eq = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
                 s = [a for a in range(len(v) - n + 1) if sum(eq[a : a + n]) >= enough]
@@ -40,10 +40,16 @@ def test_masks_find_every_window_with_two_substitutions():
         assert any(all(not (c == "1" and s + k in bad) for k, c in enumerate(m)) for m in dc.MASKS for s in range(dc.WINDOW - len(m) + 1))
 
 
+def test_masks_find_every_short_item_with_one_substitution():
+    for n in range(8, 13):
+        for bad in range(n):
+            assert any(all(not (c == "1" and s + k == bad) for k, c in enumerate(m)) for m in dc.masks_for(n) for s in range(n - len(m) + 1))
+
+
 def test_against_brute_force(spark):
     rng = random.Random(1)
     vocab = "the of and ice sea cloud edge Bay floe É ñ 7".split()
-    items = [(i, " ".join(rng.choice(vocab) + rng.choice(["", ".", ", x"]) for _ in range(rng.choice([3, 8, 12, 13, 14, 30])))) for i in range(14)] + [(90, None), (91, ""), (92, "..."), (None, "a b c d e f g h i j k l m n")]
+    items = [(i, " ".join(rng.choice(vocab) + rng.choice(["", ".", ", x"]) for _ in range(rng.choice([3, 8, 12, 13, 14, 30])))) for i in range(14)] + [(40 + n, " ".join(rng.choice(vocab) for _ in range(n))) for n in (4, 5, 7, 8, 9, 10, 11, 12)] + [(90, None), (91, ""), (92, "..."), (None, "a b c d e f g h i j k l m n")]
     docs = []
     for d in range(60):
         w = [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
@@ -61,7 +67,10 @@ def test_against_brute_force(spark):
     want = brute(docs, items)
     assert len(want) > 20
     assert got(dc.overlaps(df, bench)) == want
-    assert got(dc.overlaps(df, bench, most_broadcast=0)) == want
+    assert got(dc.overlaps(df, bench, most_bytes=0)) == want
+    at_once, dc.AT_ONCE = dc.AT_ONCE, 2
+    assert got(dc.overlaps(df, bench)) == want
+    dc.AT_ONCE = at_once
     kept = dc.decontaminate(df, bench)
     assert kept.columns == df.columns
     hit = {(d, t) for d, t in docs if brute([(d, t)], items)}
