@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import bit_filter, free_name, may_hold, table, written
+from scenespark.llm.common import bit_filter, filter_words, free_name, may_hold, table, written
 from scenespark.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -30,25 +30,30 @@ LANE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None) -> int:
-    """Of the 3-word shingles' XXH64, a bit is set if it is set in over half. bytes.lower() folds A-Z only
-    and bytes.split() parts at space and tab to carriage return."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of `size` words, repeats included, CHUNK at a time; fewer words are one shingle, none
+    give none. bytes.lower() folds A-Z only and bytes.split() parts at space and tab to carriage return."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    total, n = np.zeros(2048, np.int64), len(words) - SHINGLE + 1
-    for a in range(0, n, CHUNK):
-        part = words[a : a + CHUNK + SHINGLE - 1]
+        return
+    size, digest = min(size, len(words)), xxhash.xxh64_intdigest
+    for a in range(0, len(words) - size + 1, CHUNK):
+        part = words[a : a + CHUNK + size - 1]
         joined = b" ".join(part)
         lens = np.fromiter(map(len, part), np.int64, len(part))
         starts = np.concatenate([[0], np.cumsum(lens[:-1] + 1)])
-        ends = (starts + lens)[SHINGLE - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.asarray([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends)], np.uint64)
-        total += _lanes(h)
-    return _bits(total, n)
+        ends = (starts + lens)[size - 1 :].tolist()
+        yield np.asarray([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends)], np.uint64)
+
+
+def fingerprint_of(parts: list[np.ndarray]) -> int:
+    """A bit is set if it is set in over half of the hashes; 0 without any."""
+    return _bits(sum(map(_lanes, parts)), sum(map(len, parts))) if parts else 0
+
+
+def fingerprint(text: str | None) -> int:
+    """Of the 3-word shingles."""
+    return fingerprint_of(list(shingle_hashes(text)))
 
 
 def _lanes(h: np.ndarray) -> np.ndarray:
@@ -228,7 +233,7 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", groupe
     key, body, nth = F.col(doc_id).cast("long"), F.xxhash64(F.col(text)), free_name(df, "nth__")
     own, own_body, bits = free_name(df, "keep__"), free_name(df, "body__"), free_name(df, "bits")
     several = groups.join(found.where("n > 1").select("root"), "root", "left_semi").select(F.xxhash64("doc_id", "body").alias("h"))
-    could, hashed = F.broadcast(bit_filter(several, "h", bits)), may_hold(F.xxhash64(key, body), bits)
+    could, hashed = F.broadcast(bit_filter(several, "h", bits, size := filter_words(several))), may_hold(F.xxhash64(key, body), bits, size)
     # rows that are alone in their group are passed on where they are
     keep = found.select(F.col("k.doc_id").alias(own), F.col("k.body").alias(own_body)).hint("shuffle_hash")
     kept = df.join(could, hashed, "left_semi").join(keep, key.eqNullSafe(F.col(own)) & (body == F.col(own_body)), "left_semi")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -40,6 +41,32 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
+def test_sketches_never_have_more_bits_apart_than_members():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((1, 1, 0), (9, 10, 8), (146, 146, 120), (500, 300, 300), (4000, 3600, 3500)):
+        a = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        x, y = a[:n], np.concatenate([a[:common], a[n : n + m - common]])
+        s, t = jc.sketch(x), jc.sketch(y)
+        least = min(len(s), len(t))
+        apart = int(np.bitwise_count(jc._folded(s[None, :], least) ^ jc._folded(t[None, :], least)).sum())
+        assert apart <= n + m - 2 * common and apart % 2 == (n + m) % 2
+
+
+def test_trees_find_what_a_hub_does_not_join():
+    """Members in two blocks, none connected: the forest joins what is similar, and nothing else is proposed."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(100)]
+    texts = [changed(rng, words, 1) for _ in range(12)] + [changed(rng, words, 60) for _ in range(12)]
+    sets = [jc.shingles(t) for t in texts]
+    rows = [(i, len(s), jc.fingerprint_of([s]), jc.sketch(s).tobytes(), i) for i, s in enumerate(sets)]
+    pairs = {(i, j) for j in range(24) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    every = set(jc._tile_links(rows, [], 0.8, False))
+    assert pairs <= every and len(every - pairs) < 3 and len(pairs) > 60
+    forest = jc._tile_links(rows, [], 0.8, True)
+    assert set(forest) <= every and len(forest) == 11
+    assert {(i, j) for i, j in pairs if i % 2 != j % 2} <= set(jc._tile_links(rows[::2], rows[1::2], 0.8, False))
+
+
 def test_groups_against_brute_force(spark):
     rng = random.Random(11)
     rows = [(900, None), (901, ""), (902, " \t"), (None, "a b"), (903, "A  b"), (904, "a b c d e"), (905, "a b c d e f")]
@@ -50,9 +77,12 @@ def test_groups_against_brute_force(spark):
     rows += [(2000 + i, passage + " " + changed(rng, ["y"] * rng.choice([4, 30]), 4)) for i in range(15)]
     want = slow_groups(rows)
     assert len({c for _, c in want}) < len(rows) - 20
-    for how in ({}, {"one_in": 1, "least": 3}, {"one_in": 1, "least": 2, "most": 9}):
+    rows_a_tree = jc.TREE_ROWS
+    for how, tree in (({}, rows_a_tree), ({"one_in": 1, "least": 2, "most": 9}, 3)):
+        jc.TREE_ROWS = tree
         got = jc.similar_groups(frame(spark, rows), **how)
         assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=str) == want
+    jc.TREE_ROWS = rows_a_tree
     assert jc.similar_groups(frame(spark, rows).limit(0)).count() == 0
 
 

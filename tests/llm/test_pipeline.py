@@ -1,10 +1,9 @@
 import random
 
 import corpus_pipeline as cp
-from scenespark.llm import simhash, tokens
 from tests.llm.test_decontam import brute as leaks
+from tests.llm.test_jaccard import slow_groups
 from tests.llm.test_lines import brute as line_brute
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tests.llm.test_tokens import check_packing
 
 SF = "/root/testdata/sf0.01"
@@ -34,8 +33,8 @@ def test_each_stage_against_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
     single = cp.drop_near_copies(spark, lined, SF).cache()
-    groups = slow_components([(d, slow_fingerprint(t)) for d, t in sorted(rows_of(lined).items())])
-    assert rows_of(single) == {d: t for d, t in rows_of(lined).items() if any(d == c == x for x, _, c in groups)}
+    before = rows_of(lined)
+    assert rows_of(single) == {d: before[d] for d, c in slow_groups(sorted(before.items())) if d == c}
 
     clean = cp.drop_benchmark_leaks(spark, single, SF).cache()
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
