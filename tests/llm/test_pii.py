@@ -72,21 +72,56 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[0].startswith("id:")
 
 
+def slow_patterns(edges, rounds, least, support):
+    """edges: (pattern, instance) to (seed, plain)."""
+    yes = {e: v[0] for e, v in edges.items()}
+    for _ in range(rounds):
+        conf = {}
+        for q in {q for q, _ in edges}:
+            pos = sum(yes[e] for e in edges if e[0] == q)
+            neg = sum(edges[e][1] and not yes[e] for e in edges if e[0] == q)
+            if pos >= support:
+                conf[q] = (pos / (pos + neg), pos)
+        wrong = {}
+        for (q, i), (_, plain) in edges.items():
+            if q in conf and not plain:
+                wrong[i] = wrong.get(i, 1) * (1 - conf[q][0])
+        yes = {e: v[0] or 1 - wrong.get(e[1], 1) >= least - 1e-9 for e, v in edges.items()}
+    return {q: v for q, v in conf.items() if v[0] >= least}
+
+
 def test_scores_match_brute_force(spark):
     rng = random.Random(3)
-    edges = {(f"p{rng.randint(0, 9)}", f"i{rng.randint(0, 40)}") for _ in range(120)}
-    seed = {i: rng.random() < 0.5 for i in {i for _, i in edges}}
-    s = {e: float(seed[e[1]]) for e in edges}
-    for _ in range(3):
-        p = {q: [s[e] for e in edges if e[0] == q] for q, _ in edges}
-        p = {q: sum(v) / len(v) for q, v in p.items()}
-        a = {i: [p[e[0]] for e in edges if e[1] == i] for _, i in edges}
-        s = {e: 1.0 if seed[e[1]] else sum(a[e[1]]) / len(a[e[1]]) for e in edges}
-    p = {q: (sum(s[e] for e in edges if e[0] == q) / sum(e[0] == q for e in edges), sum(seed[e[1]] for e in edges if e[0] == q)) for q, _ in edges}
-    df = spark.createDataFrame([(q, i, seed[i]) for q, i in edges], "pattern string, instance string, seed boolean")
-    got = {r.pattern: (r.score, r.seeds) for r in pii.confident_patterns(df, 3, 0.6, 2).collect()}
-    want = {q: v for q, v in p.items() if v[0] >= 0.6 and v[1] >= 2}
-    assert got.keys() == want.keys() and all(abs(got[q][0] - want[q][0]) < 1e-9 and got[q][1] == want[q][1] for q in want)
+    kinds = {f"i{i}": rng.choice([(True, False), (False, False), (False, False), (False, True)]) for i in range(60)}
+    edges = {(f"p{rng.randint(0, 9)}", i): kinds[i] for i in kinds for _ in range(3)}
+    edges |= {("second", f"i{i}"): kinds[f"i{i}"] for i in range(60) if kinds[f"i{i}"] == (False, False)}
+    df = spark.createDataFrame([(*e, *v) for e, v in edges.items()], "pattern string, instance string, seed boolean, plain boolean")
+    for least, broadcast in ((0.55, pii.MOST_BROADCAST), (0.55, 0), (0.95, 0)):
+        before, pii.MOST_BROADCAST = pii.MOST_BROADCAST, broadcast
+        got = {r.pattern: (r.confidence, r.positive) for r in pii.confident_patterns(df, 3, least, 2).collect()}
+        pii.MOST_BROADCAST = before
+        want = slow_patterns(edges, 3, least, 2)
+        assert got.keys() == want.keys() and all(abs(got[q][0] - want[q][0]) < 1e-9 and got[q][1] == want[q][1] for q in want)
+    assert "second" in slow_patterns(edges, 3, 0.55, 2) and "second" not in slow_patterns(edges, 1, 0.55, 2)
+
+
+def test_tokens_that_are_no_seeds_are_discovered(spark):
+    """Half of the key-like tokens are held out: they must be found by what stands beside them alone."""
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, truth = [], {}
+    for i in range(200):
+        rows.append((i, f"{word()} {word()} {rng.choice(['token = ', 'ключ доступа: '])}\"{key()}\" {word()}, in {rng.randint(1, 9999)} of {word()}{rng.randint(1, 99)}"))
+        truth[i] = True
+    rows += [(300 + i, f"{word()} {word()} {key()} {word()} {word()}") for i in range(60)]  # nothing tells these
+    found = pii.spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = pii.discovered(found).collect()
+    new = {r.doc for r in got if not r.seed}
+    seeds = {r.doc for r in got if r.seed}
+    held_out = {d for d in truth if d not in seeds}
+    assert 60 < len(held_out) < 140
+    assert len(new & held_out) >= 0.9 * len(held_out) and len(new - held_out) == 0
 
 
 def test_empty_table(spark):
