@@ -25,11 +25,12 @@ def interpolate(df: DataFrame, key: Sequence[str], order: str, value: str, out:
     inner gap, nothing at the ends; limit is not used.
     """
     w = Window.partitionBy(*key).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*key).orderBy(F.col("i__").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a running value, unlike a frame to the end
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     known = F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("i__").alias("i")))
     near = df.withColumn("i__", F.row_number().over(w)).withColumn("k__", known)
-    near = near.withColumn("p__", F.last("k__", ignorenulls=True).over(back)).withColumn("q__", F.first("k__", ignorenulls=True).over(ahead))
+    near = near.withColumn("p__", F.last("k__", ignorenulls=True).over(back)).withColumn("q__", F.last("k__", ignorenulls=True).over(ahead))
     dp, dq = F.col("i__") - F.col("p__.i"), F.col("q__.i") - F.col("i__")
     p, q = F.col("p__.v"), F.col("q__.v")
     between = F.when(dp == 0, p).otherwise(p + (q - p) * dp / (dp + dq))

@@ -22,18 +22,21 @@ def kmeans_by_brightness(df: DataFrame, bands: Sequence[str], k: int = 3, seed:
     return named.unionByName(rest)
 
 
-def knn_labels(queries: DataFrame, labelled: DataFrame, features: Sequence[str], query_id: str, label_id: str, label: str, k: int = 5, most: int = 10_000) -> DataFrame:
+def knn_labels(queries: DataFrame, labelled: DataFrame, features: Sequence[str], query_id: str, label_id: str, label: str, k: int = 5, block: int = 2048, most_broadcast: int = 64_000) -> DataFrame:
     """query_id, label: the most frequent label of the k nearest labelled rows (ties: by distance, then id;
-    of equally frequent labels the smallest). The labelled set is a small palette: its size is checked and it
-    is broadcast; queries are never joined to each other."""
-    n = labelled.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} labelled rows")
+    of equally frequent labels the smallest). Labelled rows are compared in blocks of some `block` rows, whose k
+    nearest are merged; blocks are broadcast if they hold at most most_broadcast rows in all."""
+    n = labelled.count()
+    blocks = max(1, -(-n // block))
     small = labelled.select(F.col(label_id).alias("l__"), F.col(label).alias("y__"), *(F.col(f).alias(f"{f}__l") for f in features))
-    palette = small.agg(F.collect_list(F.struct(*small.columns)).alias("all__"))
+    palette = small.groupBy(F.pmod(F.xxhash64("l__"), F.lit(blocks)).alias("block__")).agg(F.collect_list(F.struct(*small.columns)).alias("all__"))
+    palette = F.broadcast(palette) if n <= most_broadcast else palette
     d = lambda x: sum(((F.col(f) - x[f"{f}__l"]) * (F.col(f) - x[f"{f}__l"]) for f in features), F.lit(0.0))
     near = F.slice(F.array_sort(F.transform("all__", lambda x: F.struct(d(x).alias("d"), x["l__"].alias("i"), x["y__"].alias("y")))), 1, k)
-    got = queries.crossJoin(F.broadcast(palette)).select(F.col(query_id), F.posexplode(near).alias("nth", "x"))
+    got = queries.crossJoin(palette).select(F.col(query_id), F.explode(near).alias("x"))
+    if blocks > 1:
+        first = Window.partitionBy(query_id).orderBy("x")
+        got = got.withColumn("nth__", F.row_number().over(first)).where(F.col("nth__") <= k)
     votes = got.groupBy(query_id, F.col("x.y").alias(label)).agg(F.count("*").alias("n"))
     return votes.groupBy(query_id).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label))
 

@@ -70,8 +70,9 @@ def split_sums(df: DataFrame, by: Sequence[str], order: str, value: str, n_early
     group's rows, on the gap of means, with a slack of 1e-12.
 
     The values of a group are one array (a season a value, so a few dozen at most); choices are built inside
-    the row by extending arrays of sums, and groups stay apart. Groups with more than `most` choices, or
-    with an empty side, have a NULL p.
+    the row by extending arrays of sums, and groups stay apart. Of groups with more than `most` choices the sums of
+    either half are built, and every choice is counted as a sum of one half and one of the other that together
+    have n_early values, so the row holds about the square root of the choices. An empty side has a NULL p.
     """
     k = F.col(n_early) if isinstance(n_early, str) else F.lit(n_early)
     got = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"), F.max(k).cast("int").alias("k"))
@@ -84,15 +85,24 @@ def split_sums(df: DataFrame, by: Sequence[str], order: str, value: str, n_early
         taken = F.transform(F.filter(chosen, lambda x: x["c"] < F.col("k")), lambda x: F.struct((x["c"] + 1).alias("c"), (x["s"] + v).alias("s")))
         return F.concat(chosen, taken)
 
-    sums = F.filter(F.aggregate("v", start, extend), lambda x: x["c"] == F.col("k"))
+    sums = F.filter(F.aggregate(F.when(ways <= most, F.col("v")).otherwise(F.array().cast("array<double>")), start, extend), lambda x: x["c"] == F.col("k"))
+    half = (F.col("n") / 2).cast("int")
+    cut = lambda a, b: F.when(F.col("ok") & ~F.col("small"), F.slice("v", a, b)).otherwise(F.array().cast("array<double>"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     first = F.aggregate(F.slice("v", F.lit(1), F.col("k")), F.lit(0.0), lambda a, x: a + x)
     gap = lambda s: s / F.col("k") - (F.col("total") - s) / (F.col("n") - F.col("k"))
     got = got.withColumn("ok", ok).withColumn("small", ways <= most).withColumn("total", total).withColumn("gap", F.when(F.col("ok"), gap(first)))
     gaps = F.when(F.col("ok") & F.col("small"), F.transform(sums, lambda x: F.abs(gap(x["s"]))))
     got = got.withColumn("gaps", gaps)
-    hits = F.size(F.filter("gaps", lambda g: g >= F.abs(F.col("gap")) - 1e-12))
-    return got.select(*by, "gap", F.when(F.col("gaps").isNotNull(), hits / F.size("gaps")).alias("p"), F.when(F.col("gaps").isNotNull(), F.size("gaps")).alias("splits"), F.array_max("gaps").alias("widest"))
+    got = got.withColumn("one", F.aggregate(cut(F.lit(1), half), start, extend)).withColumn("two", F.aggregate(cut(half + 1, F.col("n")), start, extend))
+    far = lambda s: F.abs(gap(s)) >= F.abs(F.col("gap")) - 1e-12
+    meeting = lambda a: F.size(F.filter("two", lambda b: (a["c"] + b["c"] == F.col("k")) & far(a["s"] + b["s"]))).cast("long")
+    hits = F.when(F.col("small"), F.size(F.filter("gaps", lambda g: g >= F.abs(F.col("gap")) - 1e-12)).cast("long")).otherwise(F.aggregate("one", F.lit(0).cast("long"), lambda n, a: n + meeting(a)))
+    splits = F.aggregate(F.sequence(F.lit(1), F.greatest("k", F.lit(1))), F.lit(1).cast("long"), lambda a, i: F.call_function("div", a * (F.col("n") - F.col("k") + i), i).cast("long"))
+    low = F.array_sort("v")
+    ends = [F.aggregate(F.slice(low, *at), F.lit(0.0), lambda a, x: a + x) for at in ((F.lit(1), F.col("k")), (F.col("n") - F.col("k") + 1, F.col("k")))]
+    widest = F.when(F.col("small"), F.array_max("gaps")).otherwise(F.greatest(*(F.abs(gap(e)) for e in ends)))
+    return got.select(*by, "gap", *(F.when(F.col("ok"), x).alias(c) for c, x in (("p", hits / splits), ("splits", splits), ("widest", widest))))
 
 
 def spec_curve(df: DataFrame, season: str, doy: str, series: Sequence[str], windows: Sequence[tuple[int, int]], splits: Sequence[int], aggregates: Sequence[str] = ("mean", "median"), weightings: Sequence[str] = ("equal", "by_days")) -> DataFrame:

@@ -184,10 +184,10 @@ def flatten_claims(claims: DataFrame, json: str = "json") -> DataFrame:
     """(path, value) of every scalar in a JSON text, nested objects by dotted paths."""
     kind = "map<string,string>"
     level = claims.select(F.explode(F.from_json(F.col(json), kind)).alias("path", "value"))
-    for _ in range(8):  # depth of nesting
-        inner = F.transform(F.map_entries(F.from_json("value", kind)), lambda e: F.struct(F.concat_ws(".", "path", e["key"]).alias("path"), e["value"].alias("value")))
-        own = F.array(F.struct("path", "value"))
-        level = level.select(F.inline(F.when(F.coalesce(F.col("value").startswith("{"), F.lit(False)), inner).otherwise(own)))
+    nested = F.coalesce(F.col("value").startswith("{") & F.from_json("value", kind).isNotNull(), F.lit(False))
+    inner = F.transform(F.map_entries(F.from_json("value", kind)), lambda e: F.struct(F.concat_ws(".", "path", e["key"]).alias("path"), e["value"].alias("value")))
+    while not level.where(nested).isEmpty():  # a pass for each level of nesting
+        level = level.select(F.inline(F.when(nested, inner).otherwise(F.array(F.struct("path", "value")))))
     return level
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -137,18 +136,26 @@ def _per_group(df: DataFrame, by: Sequence[str], columns: Sequence[str], run, sc
     return got if by else got.drop("all__")
 
 
+#: Values that a block of draws holds.
+DRAWN = 4_000_000
+
+
+def _resampled(v: np.ndarray, draws: int, rng: np.random.Generator, statistic) -> np.ndarray:
+    """The statistic (of rows) of so many samples with replacement, made in blocks of bounded size."""
+    out, step = np.empty(draws), max(1, DRAWN // max(1, len(v)))
+    for a in range(0, draws, step):
+        out[a : a + step] = statistic(v[rng.integers(0, len(v), (min(step, draws - a), len(v)))], axis=1)
+    return out
+
+
 def bootstrap_se(df: DataFrame, value: str, by: Sequence[str] = (), draws: int = 2000, seed: int = 20260811) -> DataFrame:
-    """se and n: standard error of the mean by resampling; the values are sorted first, so a seed gives one
-    result however the rows are dealt."""
+    """se and n: standard error of the mean by resampling. Values are sorted first, so a seed gives one result
+    however the rows are dealt; fewer than two have none."""
 
     def run(pdf: pd.DataFrame) -> dict:
         v = np.sort(pdf[value].dropna().to_numpy(float))
-        n = len(v)
-        if n < 2:
-            return {"se": None, "n": n}
-        rng = random.Random(seed)
-        means = [float(np.mean([v[rng.randrange(n)] for _ in range(n)])) for _ in range(draws)]
-        return {"se": float(np.std(means, ddof=1)), "n": n}
+        se = _resampled(v, draws, np.random.default_rng(seed), np.mean).std(ddof=1) if len(v) > 1 else None
+        return {"se": None if se is None else float(se), "n": len(v)}
 
     return _per_group(df, by, [value], run, "se double, n long")
 
@@ -161,8 +168,7 @@ def bootstrap_median(df: DataFrame, value: str, by: Sequence[str] = (), draws: i
         v = np.sort(pdf[value].dropna().to_numpy(float))
         if not len(v):
             return {"median": None, "lo": None, "hi": None, "n": 0}
-        rng = np.random.default_rng(seed)
-        m = np.median(rng.choice(v, (draws, len(v))), axis=1)
+        m = _resampled(v, draws, np.random.default_rng(seed), np.median)
         lo, hi = np.percentile(m, [2.5, 97.5]) if rule == "percentile" else np.sort(m)[[int(0.025 * draws), int(0.975 * draws) - 1]]
         return {"median": float(np.median(v)), "lo": float(lo), "hi": float(hi), "n": len(v)}
 
@@ -178,8 +184,8 @@ def bootstrap_decline(df: DataFrame, value: str, late: str, by: Sequence[str] =
         if not len(e) or not len(l):
             return {"decline_pct": None, "lo": None, "hi": None}
         rng = np.random.default_rng(seed)
-        d = 100 * (1 - rng.choice(l, (draws, len(l))).mean(axis=1) / rng.choice(e, (draws, len(e))).mean(axis=1))
-        lo, hi = np.percentile(d, [2.5, 97.5])
+        after, before = _resampled(l, draws, rng, np.mean), _resampled(e, draws, rng, np.mean)
+        lo, hi = np.percentile(100 * (1 - after / before), [2.5, 97.5])
         return {"decline_pct": 100 * (1 - l.mean() / e.mean()), "lo": float(lo), "hi": float(hi)}
 
     return _per_group(df, by, [value, late], run, "decline_pct double, lo double, hi double")
@@ -195,10 +201,10 @@ def monte_carlo_medians(df: DataFrame, value: str, group: str, by: Sequence[str]
             return {"gap": None, "p": None}
         gap = float(np.median(v[len(v) - k :]) - np.median(v[: len(v) - k]))
         rng, hits = np.random.default_rng(seed), 0
-        for _ in range(0, draws, 1000):
-            s = rng.permuted(np.tile(v, (min(1000, draws), 1)), axis=1)
+        for a in range(0, draws, 1000):
+            s = rng.permuted(np.tile(v, (min(1000, draws - a), 1)), axis=1)
             hits += int((np.abs(np.median(s[:, :k], axis=1) - np.median(s[:, k:], axis=1)) >= abs(gap) - 1e-12).sum())
-        return {"gap": gap, "p": (hits + 1) / (-(-draws // 1000) * min(1000, draws) + 1)}
+        return {"gap": gap, "p": (hits + 1) / (draws + 1)}
 
     return _per_group(df, by, [value, group], run, "gap double, p double")
 

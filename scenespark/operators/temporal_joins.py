@@ -52,7 +52,10 @@ def interval_match(candidates: DataFrame, scenes: DataFrame, day: str, candidate
     left out (anti-join them for the rest)."""
     offsets = F.explode(F.array(*map(F.lit, range(-within, within + 1))))
     asked = candidates.withColumn("offset_days", offsets).withColumn("day__", F.date_add(day, F.col("offset_days")))
-    found = asked.join(scenes.withColumnRenamed(day, "day__"), "day__")
+    others = [c for c in scenes.columns if c != day]
+    # the order doesn't depend on the candidate, so of each day the first scene is enough
+    firsts = scenes.groupBy(F.col(day).alias("day__")).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("s__")).select("day__", "s__.*")
+    found = asked.join(firsts, "day__")
     w = Window.partitionBy(*candidate_id).orderBy(F.abs("offset_days"), F.col("offset_days").desc(), *order)
     return found.withColumn("nth__", F.row_number().over(w)).where("nth__ = 1").drop("nth__").withColumnRenamed("day__", "scene_day")
 
@@ -71,14 +74,24 @@ def exclude_collisions(matches: DataFrame, scene: str, role: str, order: Sequenc
 def same_day_pairs(a: DataFrame, b: DataFrame, day: str, measure: str, within: float) -> DataFrame:
     """Rows of a and b of one day whose measures differ by at most `within`; b's columns end in _b."""
     other = b.select(day, *(F.col(c).alias(f"{c}_b") for c in b.columns if c != day))
-    return a.join(other, day).where(F.abs(F.col(measure) - F.col(f"{measure}_b")) <= within)
+    return _close(a, other, [day], measure, within).where(F.abs(F.col(measure) - F.col(f"{measure}_b")) <= within)
+
+
+def _close(a: DataFrame, b: DataFrame, by: Sequence[str], value: str, within: float) -> DataFrame:
+    """Rows of a and b of one `by` whose values (value and value_b) fall into the same or neighbouring buckets, twice
+    as wide as `within`: all that are within it, and few others, however many rows a `by` has."""
+    if within <= 0:
+        return a.join(b, list(by))
+    place = lambda c: F.rint(F.col(c).cast("double") / (2 * within))
+    here = a.withColumn("at__", place(value)).withColumn("at__", F.explode(F.array_distinct(F.array(*(F.col("at__") + k for k in (-1, 0, 1))))))
+    return here.join(b.withColumn("at__", place(f"{value}_b")), [*by, "at__"]).drop("at__")
 
 
 def unique_within(a: DataFrame, b: DataFrame, by: Sequence[str], value: str, tolerance: float, a_id: Sequence[str]) -> DataFrame:
     """a with the one row of b of the same `by` whose value is within the tolerance; rows of a with none or
     several are left out. b's columns end in _b."""
     other = b.select(*by, *(F.col(c).alias(f"{c}_b") for c in b.columns if c not in by))
-    near = a.join(other, list(by)).where(F.abs(F.col(value) - F.col(f"{value}_b")) < tolerance)
+    near = _close(a, other, by, value, tolerance).where(F.abs(F.col(value) - F.col(f"{value}_b")) < tolerance)
     return near.withColumn("n__", F.count("*").over(Window.partitionBy(*a_id))).where("n__ = 1").drop("n__")
 
 

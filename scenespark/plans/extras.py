@@ -68,7 +68,7 @@ def sensor_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 4 x 4 that reach over the raster's edge, with a mask."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.lit(8).alias("width"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.lit(8).alias("width"))
     cells = rasters.cells_of(e, ["vec_id"], ["v"])
     win = rasters.window(cells, ["vec_id"], 5, 6, 4, 4, ["v"])
     mask = cells.where("vec_id = 0").select("y", "x", F.col("v").alias("value"))
@@ -107,6 +107,6 @@ SELECT l_returnflag, l_linenumber, round(m, 6) AS kelvin, n AS thermal_cells, ro
     "monthly_anomaly": f"""WITH {SCENES}, m AS (SELECT CAST(year(scene_day) AS INT) AS year, CAST(month(scene_day) AS INT) AS month, avg(ice_classified) AS m FROM share_of GROUP BY ALL), b AS (SELECT month, avg(m) AS b FROM m WHERE year BETWEEN 1995 AND 1997 GROUP BY month)
 SELECT year, m.month, round(m, 6) AS mean, round(m - b, 6) AS anomaly FROM m LEFT JOIN b ON m.month = b.month""",
     "sensor_bands": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 4 END AS nir FROM part",
-    "raster_window": f"""WITH {GRID}, w AS (SELECT v.vec_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM (SELECT vec_id FROM embeddings WHERE vec_id < 40) v, range(0, 4) a(y), range(0, 4) b(x))
+    "raster_window": f"""WITH {GRID}, w AS (SELECT v.vec_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM (SELECT vec_id FROM embeddings) v, range(0, 4) a(y), range(0, 4) b(x))
 SELECT w.vec_id, w.y, w.x, round(g.v, 6) AS v, coalesce(m.v > 0, FALSE) AS land FROM w LEFT JOIN grid g ON g.vec_id = w.vec_id AND g.y = w.y + 5 AND g.x = w.x + 6 LEFT JOIN grid m ON m.vec_id = 0 AND m.y = w.y AND m.x = w.x""",
 }

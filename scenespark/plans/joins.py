@@ -33,8 +33,8 @@ def interval_match_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase days (two roles by value) take the nearest signup of any user within a day; one that both
     roles claim is withdrawn."""
     day = F.to_date("ts")
-    buys = _events(spark, sf_dir, "purchase").select("event_id", day.alias("day"), F.when(F.col("value") < 50, "low").otherwise("high").alias("role"), "user_id").where("event_id % 3 = 0")
-    signs = _events(spark, sf_dir, "signup").select(day.alias("day"), F.col("event_id").alias("scene"), F.col("user_id").alias("scene_user")).where("scene % 2 = 0")
+    buys = _events(spark, sf_dir, "purchase").select("event_id", day.alias("day"), F.when(F.col("value") < 50, "low").otherwise("high").alias("role"), "user_id")
+    signs = _events(spark, sf_dir, "signup").select(day.alias("day"), F.col("event_id").alias("scene"), F.col("user_id").alias("scene_user"))
     asked = buys.join(signs.select(F.col("scene_user").alias("user_id")).distinct(), "user_id", "left_semi")
     found = tj.interval_match(asked.withColumn("u", F.col("user_id") % 10), signs.withColumn("su", F.col("scene_user") % 10).select("day", "scene", "su"), "day", ["event_id"], ["scene"]).drop("u", "su")
     return tj.exclude_collisions(found, "scene", "role", [F.col("event_id")]).select("event_id", "role", "scene", "offset_days", "reject_reason")
@@ -77,7 +77,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orbit_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as radar scenes: segments are orbits, finished and open orders the two references of a year."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"), "o_custkey").select("o_orderkey", F.month("o_orderdate").alias("m"), F.col("c_nationkey").alias("orbit"), "o_orderstatus", "o_totalprice")
-    scenes_, refs = o.where("o_orderkey % 7 = 0"), o.where("o_orderkey % 7 <> 0 and o_orderstatus in ('F', 'O') and o_orderkey % 5 = 0")
+    scenes_, refs = o.where("o_orderstatus = 'P'"), o.where("o_orderstatus in ('F', 'O')")
     got = tj.orbit_reference(scenes_, refs, ["m"], "orbit", "o_orderstatus", "o_totalprice", ["F", "O"], 2)
     return r6(got.select("o_orderkey", "orbit_matched", "ref_F", "ref_O"))
 
@@ -118,7 +118,7 @@ def extreme_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that purchases or clicks make, with signups where there are any, flattened again."""
     def per(kind: str) -> DataFrame:
-        return _events(spark, sf_dir, kind).where("user_id < 5").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+        return _events(spark, sf_dir, kind).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
     days = tj.assemble_days({"buys": per("purchase"), "clicks": per("click")}, {"signups": per("signup")}, "day")
     return days.select("day", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("buys", "clicks", "signups") for c in ("n", "last")))
@@ -145,7 +145,7 @@ def hour_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sets_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    days = cl.instruments_by_day(e.where("user_id < 20"), "day", "event_type")
+    days = cl.instruments_by_day(e, "day", "event_type")
     return days.select("day", F.array_join("instruments", ",").alias("instruments"))
 
 
@@ -172,8 +172,8 @@ SELECT lag_days, count(*) AS n, round(median(d), 6) AS median, round(quantile_co
 j AS (SELECT p.event_id, p.user_id, c.event_id AS click_id, c.value AS click_value, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(epoch_us(c.ts) - epoch_us(p.ts)), c.ts, CASE WHEN c.ts <= p.ts THEN -c.event_id ELSE c.event_id END) AS r
   FROM p JOIN c ON p.user_id = c.user_id AND abs(epoch_us(c.ts) - epoch_us(p.ts)) <= 21600000000)
 SELECT p.event_id, p.user_id, j.click_id, round(j.click_value, 6) AS click_value FROM p LEFT JOIN j ON p.event_id = j.event_id AND j.r = 1""",
-    "interval_match_collision": f"""WITH s AS (SELECT event_id AS scene, CAST(ts AS DATE) AS day, user_id FROM {_EV.format("signup")} WHERE event_id % 2 = 0),
-b AS (SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS role FROM {_EV.format("purchase")} WHERE event_id % 3 = 0 AND user_id IN (SELECT user_id FROM s)),
+    "interval_match_collision": f"""WITH s AS (SELECT event_id AS scene, CAST(ts AS DATE) AS day, user_id FROM {_EV.format("signup")}),
+b AS (SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS role FROM {_EV.format("purchase")} WHERE user_id IN (SELECT user_id FROM s)),
 m AS (SELECT event_id, role, scene, CAST(s.day - b.day AS INT) AS offset_days, row_number() OVER (PARTITION BY event_id ORDER BY abs(s.day - b.day), s.day - b.day DESC, scene) AS r FROM b JOIN s ON abs(s.day - b.day) <= 1),
 k AS (SELECT * FROM m WHERE r = 1), c AS (SELECT scene, count(DISTINCT role) AS roles FROM k GROUP BY scene)
 SELECT event_id, role, k.scene, offset_days, CASE WHEN roles > 1 THEN 'claimed by another role' WHEN row_number() OVER (PARTITION BY k.scene ORDER BY abs(offset_days), event_id) > 1 THEN 'used by the same role' END AS reject_reason FROM k JOIN c ON k.scene = c.scene""",
@@ -187,11 +187,11 @@ u AS (SELECT 'both' AS op, user_id FROM (SELECT user_id FROM a INTERSECT SELECT
   UNION ALL SELECT 'only_first', user_id FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b) UNION ALL SELECT 'first_less_second', user_id FROM (SELECT user_id FROM a EXCEPT ALL SELECT user_id FROM b)
   UNION ALL SELECT 'all', user_id FROM (SELECT user_id FROM a UNION ALL SELECT user_id FROM b)) SELECT op, user_id, count(*) AS n FROM u GROUP BY op, user_id""",
     "orbit_reference": """WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, c_nationkey AS orbit, o_orderstatus AS st, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
-r AS (SELECT * FROM o WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 AND st IN ('F', 'O')),
+r AS (SELECT * FROM o WHERE st IN ('F', 'O')),
 x AS (SELECT m, orbit, median(v) FILTER (WHERE st = 'F') AS f, median(v) FILTER (WHERE st = 'O') AS o, least(count(*) FILTER (WHERE st = 'F'), count(*) FILTER (WHERE st = 'O')) AS n FROM r GROUP BY m, orbit),
 y AS (SELECT m, median(v) FILTER (WHERE st = 'F') AS f, median(v) FILTER (WHERE st = 'O') AS o FROM r GROUP BY m)
 SELECT o_orderkey, coalesce(x.n >= 2, FALSE) AS orbit_matched, round(CASE WHEN x.n >= 2 THEN x.f ELSE y.f END, 6) AS "ref_F", round(CASE WHEN x.n >= 2 THEN x.o ELSE y.o END, 6) AS "ref_O"
-FROM o LEFT JOIN x ON o.m = x.m AND o.orbit = x.orbit LEFT JOIN y ON o.m = y.m WHERE o_orderkey % 7 = 0""",
+FROM o LEFT JOIN x ON o.m = x.m AND o.orbit = x.orbit LEFT JOIN y ON o.m = y.m WHERE o.st = 'P'""",
     "one_per_day_ranked": "SELECT day, o_orderkey FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1",
     "topn_per_group": """SELECT year, l_returnflag, CAST(r AS INT) AS rank, l_orderkey, l_linenumber FROM (SELECT CAST(year(l_shipdate) AS INT) AS year, l_returnflag, l_orderkey, l_linenumber,
   row_number() OVER (PARTITION BY year(l_shipdate), l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 4""",
@@ -204,13 +204,13 @@ SELECT year, o_orderkey FROM a WHERE n <= 9 OR i IN (SELECT CAST(round_even(k *
 c AS (SELECT c_mktsegment, c_nationkey, count(*) AS k FROM customer GROUP BY c_mktsegment, c_nationkey),
 n AS (SELECT c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY k DESC, c_nationkey) AS r FROM c)
 SELECT p.c_mktsegment, max(c_custkey) FILTER (WHERE a = 1) AS poorest, max(c_custkey) FILTER (WHERE b = 1) AS richest, any_value(n.c_nationkey) AS c_nationkey FROM p JOIN n ON p.c_mktsegment = n.c_mktsegment AND n.r = 1 GROUP BY p.c_mktsegment""",
-    "day_assembly": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS k, count(*) AS n, max(event_id) AS last FROM events WHERE user_id < 5 GROUP BY 1, 2), d AS (SELECT DISTINCT day FROM e WHERE k IN ('purchase', 'click'))
+    "day_assembly": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS k, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2), d AS (SELECT DISTINCT day FROM e WHERE k IN ('purchase', 'click'))
 SELECT d.day, b.n AS buys_n, b.last AS buys_last, c.n AS clicks_n, c.last AS clicks_last, s.n AS signups_n, s.last AS signups_last FROM d LEFT JOIN e b ON d.day = b.day AND b.k = 'purchase' LEFT JOIN e c ON d.day = c.day AND c.k = 'click' LEFT JOIN e s ON d.day = s.day AND s.k = 'signup'""",
     "nested_day_json": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT b.day, b.n AS buys, s.n AS signups FROM e b LEFT JOIN e s ON b.day = s.day AND s.k = 'signup' WHERE b.k = 'purchase'""",
     "pivot_month_kind": "SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS purchase, round(avg(value) FILTER (WHERE event_type = 'signup'), 6) AS signup FROM events GROUP BY user_id",
     "hour_crosstab": "SELECT CAST(hour(ts) AS INT) AS hour, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY 1",
-    "sets_per_day": "SELECT CAST(ts AS DATE) AS day, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS instruments FROM events WHERE user_id < 20 GROUP BY 1",
+    "sets_per_day": "SELECT CAST(ts AS DATE) AS day, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS instruments FROM events GROUP BY 1",
     "instrument_reach": "SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM events GROUP BY event_type",
     "box_coverage": """WITH s AS (SELECT s_suppkey, s_suppkey % 37 - 20.0::DOUBLE AS w, s_suppkey % 11 - 5.0::DOUBLE AS s, s_suppkey % 37 - 15.0::DOUBLE AS e, s_suppkey % 11 - 1.0::DOUBLE AS n FROM supplier),
 a AS (SELECT n_nationkey AS area_id, n_nationkey - 10.0::DOUBLE AS w, n_nationkey % 5 - 3.0::DOUBLE AS s, n_nationkey - 6.5::DOUBLE AS e, n_nationkey % 5 + 0.5::DOUBLE AS n FROM nation),

@@ -62,7 +62,7 @@ def band_void(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reflectance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities as digital numbers of an older and a newer baseline; shares as radiance."""
-    s = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    s = table(spark, sf_dir, "lineitem")
     major = sp.baseline_major(F.when(F.col("l_linenumber") > 2, F.lit("04.00")).when(F.col("l_linenumber") == 2, F.lit("02.09")).otherwise(F.lit("n/a")))
     dn = F.col("l_quantity") * 100
     return r6(s.select(
@@ -84,7 +84,7 @@ def relative_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 rasters in blocks of three, the last rows and columns cut off."""
-    g = grid(spark, sf_dir).where("vec_id < 200")
+    g = grid(spark, sf_dir)
     mean = sc.pool(g, ["vec_id"], ["v"], 3, 8, 8)
     major = sc.pool(g.withColumn("b", F.col("v") > 0), ["vec_id"], ["b"], 3, 8, 8, "majority")
     return r6(mean.join(major, ["vec_id", "y", "x"]), 9)
@@ -183,8 +183,9 @@ def encoding_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of the nearest of all cells for every cell whose id is divisible by 50."""
     b = bands(spark, sf_dir)
-    return cl.knn_labels(b.where("vec_id % 3 = 1").select("vec_id", "green", "nir", "swir"), b.where("vec_id % 10 = 0"), ["green", "nir", "swir"], "vec_id", "vec_id", "label")
+    return cl.knn_labels(b.where("vec_id % 50 = 0").select("vec_id", "green", "nir", "swir"), b, ["green", "nir", "swir"], "vec_id", "vec_id", "label")
 
 
 def kmeans_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +233,7 @@ SELECT label, count(*) FILTER (WHERE c = 5) AS ice_light, count(*) FILTER (WHERE
 f AS (SELECT label, ndsi > 0.7 AND bright AS so, ndsi > 0.4 AND ndsi < 0.7 AND bright AS li, ndsi > 0.4 AND bright AND green + swir > 0.02 AS ic, ndwi > 0.2 AND green + nir > 0.02 AS wa, ndwi > 0.2 AS wp FROM ix)
 SELECT label, count(*) FILTER (WHERE so) AS solid, count(*) FILTER (WHERE li) AS light, count(*) FILTER (WHERE NOT so AND NOT li AND NOT wp) AS unclassified, count(*) FILTER (WHERE ic) AS ice, count(*) FILTER (WHERE wa AND NOT ic) AS water FROM f GROUP BY label""",
     "band_void": f"WITH {BANDS} SELECT vec_id, list_max(list_transform(bands, lambda x: abs(x))) < 0.35 AS void, CAST(list_position(bands, list_max(bands)) - 1 AS INT) AS largest FROM cell",
-    "reflectance": """WITH s AS (SELECT *, l_quantity * 100 AS dn, CASE WHEN l_linenumber > 2 THEN -0.1 ELSE 0 END AS off FROM lineitem WHERE l_orderkey % 20 = 0)
+    "reflectance": """WITH s AS (SELECT *, l_quantity * 100 AS dn, CASE WHEN l_linenumber > 2 THEN -0.1 ELSE 0 END AS off FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(dn / 10000 + off, 6) AS reflectance, round(greatest(dn / 10000 + off, 0), 6) AS clamped, round(CASE WHEN dn <> 0 THEN dn * 0.0000275 - 0.2 END, 6) AS level2, round((dn * 0.00002 - 0.1) / sin(radians(l_quantity + 5)), 6) AS toa,
   round(1321.0789 / ln(774.8853 / (l_quantity / 5) + 1), 6) AS kelvin, ((l_linenumber * 5) & 27) > 0 AS masked, CASE WHEN CAST(l_shipdate AS DATE) >= DATE '1998-01-01' THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END AS "offset" FROM s""",
     "relative_db": f"""WITH {BANDS}, d AS (SELECT label, vec_id % 4 = 0 AS land, CASE WHEN bands[1] * bands[1] > 1e-8 THEN 10 * log10(bands[1] * bands[1]) END AS db FROM cell),
@@ -240,7 +241,7 @@ s AS (SELECT label, avg(CAST(db IS NOT NULL AS INT)) AS valid_share, count(db) F
 r AS (SELECT *, CASE WHEN valid_share < 0.5 THEN 'valid share' WHEN m IS NULL THEN 'no water median' WHEN coalesce(l - m <= 0, TRUE) THEN 'land contrast' END AS reject_reason, (m - p5) / nullif(p95 - p5, 0) AS pos FROM s)
 SELECT label, round(valid_share, 6) AS valid_share, water_cells, land_cells, round(m, 6) AS water_median_db, round(p5, 6) AS water_p5_db, round(p95, 6) AS water_p95_db, round(l, 6) AS land_median_db, round(l - m, 6) AS land_contrast_db, reject_reason, reject_reason IS NULL AS passes_gates,
   round(pos, 6) AS position, CASE WHEN pos >= 0.75 THEN 'ice' WHEN pos <= 0.25 THEN 'water' WHEN pos IS NOT NULL THEN 'between' END AS verdict FROM r""",
-    "block_pool": f"WITH {GRID} SELECT vec_id, CAST(y // 3 AS INT) AS y, CAST(x // 3 AS INT) AS x, round(avg(v), 9) AS v, avg(CAST(v > 0 AS INT)) >= 0.5 AS b FROM grid WHERE vec_id < 200 AND y < 6 AND x < 6 GROUP BY vec_id, y // 3, x // 3",
+    "block_pool": f"WITH {GRID} SELECT vec_id, CAST(y // 3 AS INT) AS y, CAST(x // 3 AS INT) AS x, round(avg(v), 9) AS v, avg(CAST(v > 0 AS INT)) >= 0.5 AS b FROM grid WHERE y < 6 AND x < 6 GROUP BY vec_id, y // 3, x // 3",
     "grid_resolution": f"""WITH {GRID}, b AS (SELECT k, vec_id, y // k AS by_, x // k AS bx, avg(CAST(v > 0 AS INT)) AS m FROM grid, (VALUES (2), (4)) t(k) GROUP BY ALL), s AS (SELECT k, vec_id, avg(CAST(m > 0 AND m < 1 AS INT)) AS mixed FROM b GROUP BY ALL)
 SELECT k, round(avg(mixed), 6) AS mixed, count(*) AS n FROM s GROUP BY k""",
     "resample": f"""WITH {GRID}, t AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(floor((y + 0.5) * 1.6 + 0.5) AS INT) AS sy, CAST(floor((x + 0.5) * 1.6 + 0.5) AS INT) AS sx FROM range(0, 6) a(y), range(0, 6) b(x))
@@ -274,6 +275,6 @@ SELECT CAST(c AS INT) AS chunk, count(*) AS n, round(median(o_totalprice), 6) AS
     "percentile_battery": "SELECT l_returnflag AS flag, p, round(v, 6) AS value FROM (SELECT l_returnflag, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p, unnest(quantile_cont(l_quantity, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])) AS v FROM lineitem GROUP BY l_returnflag)",
     "encoding_differences": f"""WITH {BANDS}, d AS (SELECT 'green' AS band, abs(green - round(green, 1)) AS d FROM cell UNION ALL SELECT 'nir', abs(nir - round(nir, 1)) FROM cell UNION ALL SELECT 'swir', abs(swir - round(swir, 1)) FROM cell)
 SELECT band, round(median(d), 6) AS median, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS worst FROM d GROUP BY band""",
-    "knn_labels": f"""WITH {BANDS}, n AS (SELECT q.vec_id, l.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.green - l.green) * (q.green - l.green) + (q.nir - l.nir) * (q.nir - l.nir) + (q.swir - l.swir) * (q.swir - l.swir), l.vec_id) AS r FROM cell q, cell l WHERE q.vec_id % 3 = 1 AND l.vec_id % 10 = 0),
+    "knn_labels": f"""WITH {BANDS}, n AS (SELECT q.vec_id, l.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.green - l.green) * (q.green - l.green) + (q.nir - l.nir) * (q.nir - l.nir) + (q.swir - l.swir) * (q.swir - l.swir), l.vec_id) AS r FROM cell q, cell l WHERE q.vec_id % 50 = 0),
 v AS (SELECT vec_id, label, count(*) AS c FROM n WHERE r <= 5 GROUP BY ALL), w AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS k FROM v) SELECT vec_id, label FROM w WHERE k = 1""",
 }

@@ -54,7 +54,12 @@ def test_permutation_equals_brute_force(spark):
             assert r.p == pytest.approx(slow_p(v, k)) and r.splits == math.comb(n, k)
         else:
             assert r.p is None
-    assert ct.split_sums(table(spark, range(30)), [], "season", "value", 15, most=1000).first().p is None
+    for n, k in ((11, 4), (12, 6), (13, 1)):  # by halves, as beyond `most`
+        v = [rng.choice([0.1, 0.2, rng.random()]) for _ in range(n)]
+        r, whole = (ct.split_sums(table(spark, v), [], "season", "value", k, most=m).first() for m in (10, 200_000))
+        assert r.p == pytest.approx(slow_p(v, k)) and r.splits == math.comb(n, k) and r.widest == pytest.approx(whole.widest)
+    r = ct.split_sums(table(spark, [rng.random() for _ in range(22)]), [], "season", "value", 11).first()
+    assert r.splits == math.comb(22, 11) and 0 < r.p <= 1
 
 
 def test_an_empty_period_has_no_decline(spark):
@@ -129,8 +134,34 @@ def test_knn_and_split(spark):
     lab = spark.createDataFrame([(i, float(i), "a" if i < 5 else "b") for i in range(10)], "id int, x double, y string")
     q = spark.createDataFrame([(100, 0.2), (101, 9.0)], "qid int, x double")
     assert dict(map(tuple, cl.knn_labels(q, lab, ["x"], "qid", "id", "y", 3).collect())) == {100: "a", 101: "b"}
-    with pytest.raises(ValueError):
-        cl.knn_labels(q, lab, ["x"], "qid", "id", "y", 3, most=5)
+    assert dict(map(tuple, cl.knn_labels(q, lab, ["x"], "qid", "id", "y", 3, block=2, most_broadcast=0).collect())) == {100: "a", 101: "b"}
+    assert dict(map(tuple, cl.knn_labels(q, lab, ["x"], "qid", "id", "y", 99, block=3).collect())) == {100: "a", 101: "a"}
     s = cl.shuffle_split(spark.range(5000), ["id"], {"train": 0.8, "valid": 0.1, "test": 0.1}).groupBy("split").count()
     n = dict(map(tuple, s.collect()))
     assert abs(n["train"] - 4000) < 150 and abs(n["valid"] - 500) < 90 and sum(n.values()) == 5000
+
+
+def test_joins_make_pairs_in_proportion_to_rows(spark):
+    """One day, values spread evenly: the candidates of a join by bucket stay near the pairs that are close."""
+    from scenespark.operators import temporal_joins as tj
+
+    n = 2000
+    a = spark.range(n).select(F.lit(1).alias("day"), F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    got = tj._close(a, a.select("day", F.col("i").alias("i_b"), F.col("v").alias("v_b")), ["day"], "v", 1.0).count()
+    assert got < 10 * n and tj.same_day_pairs(a, a, "day", "v", 1.0).count() == 3 * n - 2
+    odd = spark.createDataFrame([(1, 1, float("nan")), (1, 2, float("inf")), (1, 3, None), (1, 4, 1e300), (1, 5, 1e300), (1, 6, -0.0), (1, 7, 1.0)], "day int, i int, v double")
+    rows = {(r.i, r.i_b) for r in tj.same_day_pairs(odd, odd, "day", "v", 1.0).collect()}
+    assert rows == {(4, 4), (4, 5), (5, 4), (5, 5), (6, 6), (6, 7), (7, 6), (7, 7)}
+    asked = spark.range(n).select(F.col("id").alias("c"), F.lit("2020-01-01").cast("date").alias("day"))
+    scenes = spark.range(n).select(F.col("id").alias("s"), F.lit("2020-01-02").cast("date").alias("day"))
+    assert {tuple(r) for r in tj.interval_match(asked, scenes, "day", ["c"], ["s"]).select("offset_days", "s").distinct().collect()} == {(1, 0)}
+
+
+def test_claims_of_any_depth(spark):
+    from scenespark.operators import gates
+
+    text = "1"
+    for i in reversed(range(14)):
+        text = f'{{"k{i}": {text}, "t{i}": "{{no object"}}'
+    got = {r.path: r.value for r in gates.flatten_claims(spark.createDataFrame([(text,), (None,)], "json string")).collect()}
+    assert got[".".join(f"k{i}" for i in range(14))] == "1" and got["t0"] == "{no object" and len(got) == 15
