@@ -1,8 +1,11 @@
 """License scans (2): exact set-similarity join of text blocks with license templates, in DataFrame functions.
 
-A block is a line; a block matches a template if it holds at least THRESHOLD of the template's distinct
-words, however they stand. Tokens that no template has cannot count, so blocks are reduced to template
-tokens, and these are ordered by the number of blocks that have them, rarest first, over all documents. A
+A block is a run of SPAN lines, so that a wrapped notice is one (a text of fewer lines is one block); every
+line begins a block. A block matches a template if it holds at least THRESHOLD of the template's distinct
+words, however they stand; what a shorter run would meet, the block that holds it meets too. Tokens that no
+template has cannot count, so blocks are reduced to template tokens; a text that holds too few of every
+template as a whole has no block that matches and goes first. Tokens are ordered by the number of blocks that
+have them, rarest first, over all documents. A
 template that needs `need` common tokens can only be met by a block that has one of its first
 size - need + 1 tokens (prefix filter) and at least `need` tokens at all (length filter); the first common
 token bounds what can still follow on either side (positional filter). What is left is counted exactly.
@@ -10,7 +13,9 @@ token bounds what can still follow on either side (positional filter). What is l
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections.abc import Iterable
 from typing import NamedTuple
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from scenespark.llm.common import WORD, ascii_lower, split_words, table, written
 
 THRESHOLD = 0.9
+#: Lines in a block.
+SPAN = 4
 
 
 class Template(NamedTuple):
@@ -68,10 +75,24 @@ def _stands(ws: list[str]):
     return at
 
 
-def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, body, block (line from 0), label, containment: every block of every document that holds at least
-    `threshold` of a template's distinct words; body is a hash of the text, which tells rows of one doc_id
-    apart. Null and empty texts have no match; repeated rows repeat theirs."""
+def _line_blocks(low: Column, universe: Column, span: int) -> Column:
+    """The distinct template tokens of every run of `span` lines, by the line that it begins with."""
+    lines = F.transform(F.split(low, "\n", -1), lambda line: F.array_intersect(split_words(line), universe))
+    if span == 1:
+        return lines
+
+    def of(has: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(has) - span + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_distinct(F.flatten(F.slice(has, i, span))))
+
+    return F.get(F.transform(F.array(lines), of), 0)  # the lambda binds the lines once
+
+
+def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """doc, body, block (its first line, from 0), label, containment: every block of every document that holds at
+    least `threshold` of a template's distinct words; body is a hash of the text, which tells rows of one doc_id
+    apart. Blocks overlap, so a notice is found once in each that holds it. Null and empty texts have no match;
+    repeated rows repeat theirs."""
     sets = [(i, t.label, _tokens(t.text)) for i, t in enumerate(templates)]
     sets = [(i, label, toks, math.ceil(threshold * len(toks) - 1e-9)) for i, label, toks in sets if toks]
     spark = df.sparkSession
@@ -79,8 +100,15 @@ def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold:
         return df.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("body"), F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     universe = sorted({t for *_, toks, _ in sets for t in toks})
     least = min(need for *_, need in sets)
-    lines = df.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1)).alias("block", "line"))
-    blocks = written(lines.select("doc", "body", "block", F.array_intersect(split_words(F.col("line")), _array(universe)).alias("has")).where(F.size("has") >= least), "blocks")
+    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+
+    def may_match(has: Column) -> Column:
+        return functools.reduce(operator.or_, (F.size(F.array_intersect(has, _array(toks))) >= need for *_, toks, need in sets))
+
+    docs = df.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), low.alias("low"))
+    docs = docs.where(F.exists(F.array(F.array_intersect(split_words(F.col("low")), _array(universe))), may_match))
+    lines = docs.select("doc", "body", F.posexplode(_line_blocks(F.col("low"), _array(universe), span)).alias("block", "has"))
+    blocks = written(lines.where(F.size("has") >= least), "blocks")
 
     counts = blocks.select(F.explode("has").alias("t")).groupBy("t").count().collect()  # a row for each template token at most
     often = {r[0]: r[1] for r in counts}
@@ -105,7 +133,7 @@ def matches(df: DataFrame, templates: Iterable[Template] = TEMPLATES, threshold:
     return near.where(common >= F.col("need")).select("doc", "body", "block", "label", (common / F.size("tokens")).alias("containment"))
 
 
-def scan(df: DataFrame, phrases: Iterable[Template] = PHRASES, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, phrases: Iterable[Template] = PHRASES, templates: Iterable[Template] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of df.
 
     Words are A-Z lower-cased runs of letters, digits and non-ASCII characters. base_*: places where a
@@ -132,7 +160,7 @@ def scan(df: DataFrame, phrases: Iterable[Template] = PHRASES, templates: Iterab
         "doc_id", "body_", "n_words", F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(names)).alias("base"),
     )
-    found = matches(df, templates, threshold, doc_id, text).groupBy("doc", "body").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
+    found = matches(df, templates, threshold, doc_id, text, span).groupBy("doc", "body").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
     both = docs.join(found, docs.doc_id.eqNullSafe(found.doc) & docs.body_.eqNullSafe(found.body), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", _array([]))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0)))
@@ -148,7 +176,7 @@ def _sql_array(xs: Iterable[str]) -> str:
 
 
 def oracle_sql() -> str:
-    """The same by comparing every line with every template."""
+    """The same by comparing every block with every template."""
     templates = ", ".join(f"('{t.label}', {_sql_array(_tokens(t.text))}, {math.ceil(THRESHOLD * len(_tokens(t.text)) - 1e-9)})" for t in TEMPLATES)
     low = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     places = []
@@ -164,8 +192,9 @@ p AS (SELECT doc_id, len(words) AS n_words, {", ".join(f"{x} AS a{k}" for k, x i
 b AS (SELECT doc_id, n_words, {" || ".join(f"a{k}" for k in range(len(PHRASES)))} AS places,
   list_filter([{names}], lambda x: x IS NOT NULL) AS base FROM p),
 t(label, tokens, need) AS (VALUES {templates}),
-l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-s AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS has FROM l),
+l AS (SELECT doc_id, string_split(low, chr(10)) AS lines FROM d),
+r AS (SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - {SPAN}, 0) + 1)) AS i FROM l),
+s AS (SELECT doc_id, list_distinct(regexp_extract_all(array_to_string(lines[i + 1 : i + {SPAN}], chr(10)), '{WORD}')) AS has FROM r),
 m AS (SELECT doc_id, label, len(list_intersect(has, tokens)) / len(tokens) AS containment
   FROM s JOIN t ON len(list_intersect(has, tokens)) >= need),
 g AS (SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS most FROM m GROUP BY doc_id)
