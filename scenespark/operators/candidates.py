@@ -125,6 +125,15 @@ def contradicted(df: DataFrame, share: str, ice: str, frozen: str, least_share:
     return df.withColumn("contradicted", F.coalesce(flag, F.lit(False)))
 
 
+def annual(df: DataFrame, day: str, value: str) -> DataFrame:
+    """year, n, mean, median, cv (standard deviation of the sample over the mean): years with a value. The median is
+    exact and no task holds a year."""
+    rows = df.select(F.year(day).alias("year"), F.col(value).cast("double").alias("v__")).where("v__ is not null and not isnan(v__)")
+    means = rows.groupBy("year").agg(F.count("*").alias("n"), F.avg("v__").alias("mean"), F.try_divide(F.stddev_samp("v__"), F.avg("v__")).alias("cv"))
+    mid = percentiles(rows, "v__", [0.5], ["year"]).select(F.col("year").alias("y__"), F.col("value").alias("median"))
+    return means.join(mid, F.col("year").eqNullSafe(F.col("y__"))).select("year", "n", "mean", "median", "cv")
+
+
 def monthly(df: DataFrame, day: str, value: str, baseline: tuple[int, int]) -> DataFrame:
     """year, month, mean, anomaly: monthly means against those of the baseline years."""
     m = df.groupBy(F.year(day).alias("year"), F.month(day).alias("month")).agg(F.avg(value).alias("mean"))

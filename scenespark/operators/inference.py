@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,29 @@ def theil_sen(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFram
     return both.select(*by, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
 
 
+def theil_sen_interval(df: DataFrame, x: str, y: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """by, slope, low, high, pairs: the median slope of a short series and its distribution-free interval: as many
+    sorted slopes off the middle as Kendall's score varies, ties of either axis taken off. Two points give the one
+    slope three times; a series without two different x has no row."""
+    rows = df.select(*by, F.col(x).cast("double").alias("x__"), F.col(y).cast("double").alias("y__")).where("x__ is not null and y__ is not null")
+    pts = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x__", "y__"))).alias("p"))  # a season a point
+    later = lambda a: F.transform(F.filter("p", lambda b: b["x__"] > a["x__"]), lambda b: (b["y__"] - a["y__"]) / (b["x__"] - a["x__"]))
+    got = pts.withColumn("s", F.array_sort(F.flatten(F.transform("p", later)))).where(F.size("s") > 0)
+    score = lambda n: n * (n - 1) * (2 * n + 5)
+
+    def ties(c: str) -> Column:
+        vs = F.transform("p", lambda q: q[c])
+        times = F.transform(F.array_distinct(vs), lambda v: F.size(F.filter(vs, lambda w: w == v)))
+        return F.aggregate(times, F.lit(0.0), lambda acc, n: acc + score(n))
+
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    width = z * F.sqrt(F.greatest((score(F.size("p")) - ties("x__") - ties("y__")) / 18.0, F.lit(0.0)))
+    n = F.size("s")
+    at = lambda i: F.get("s", F.least(F.greatest(i.cast("int"), F.lit(0)), n - 1))
+    mid = (F.get("s", F.floor((n - 1) / 2).cast("int")) + F.get("s", F.floor(n / 2).cast("int"))) / 2
+    return got.select(*by, mid.alias("slope"), at(F.bround((n - width) / 2) - 1).alias("low"), at(F.bround((n + width) / 2)).alias("high"), n.alias("pairs"))
+
+
 def rmse_bias(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """rmse, bias (a less b), r and n of paired measures."""
     d = F.col(a) - F.col(b)

@@ -7,6 +7,7 @@ row a partition and group.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -14,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """spark.checkpoint.dir of the session; a temporary folder where neither it nor the context has one."""
+def checkpoints(spark: SparkSession) -> str:
+    """The shared folder: the context's or else spark.checkpoint.dir of the session, set for the context. Where both
+    are unset it is a temporary folder in local mode and an error on a cluster, whose machines share none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scenespark-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="scenespark-"))
+    return sc.getCheckpointDir()
 
 
 def ranged(df: DataFrame, by: Sequence[str], part: str = "part__") -> DataFrame:

@@ -55,6 +55,10 @@ def monthly_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(cd.monthly(shares(spark, sf_dir), "scene_day", "ice_classified", (1995, 1997)))
 
 
+def annual_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(cd.annual(shares(spark, sf_dir), "scene_day", "ice_classified"))
+
+
 def nearest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("doy"), "o_orderkey")
     return cd.nearest_targets(o, ["year"], "doy", "o_orderkey", 8, (53, 180))
@@ -86,7 +90,7 @@ def season_table_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(spark, sf_dir, SQL_TEXT)
 
 
-QUERIES = {f.__name__: f for f in (role_candidates, control_groups, scrubbed_counts, brightness, tracking_gate, thermal_stats, monthly_anomaly, nearest_targets, sensor_bands, raster_window, season_table_sql)}
+QUERIES = {f.__name__: f for f in (role_candidates, control_groups, scrubbed_counts, brightness, tracking_gate, thermal_stats, monthly_anomaly, annual_median, nearest_targets, sensor_bands, raster_window, season_table_sql)}
 _RATIO = "r AS (SELECT label, nir, (green + nir + swir) / 3 / (SELECT median((green + nir + swir) / 3) FROM cell) AS ratio FROM cell)"
 ORACLE_SQL = {
     "season_table_sql": f"WITH {SCENES}, r AS ({SQL_TEXT}) SELECT * FROM r",
@@ -106,6 +110,8 @@ SELECT label, round(gate, 9) AS gate, round(f, 9) AS at_fixed, round(g, 9) AS at
 SELECT l_returnflag, l_linenumber, round(m, 6) AS kelvin, n AS thermal_cells, round(f, 6) AS frozen_share, round(m - 273.15, 6) AS celsius, l_linenumber / 10 < 0.35 AND f > 0.53 AS contradicted FROM s""",
     "monthly_anomaly": f"""WITH {SCENES}, m AS (SELECT CAST(year(scene_day) AS INT) AS year, CAST(month(scene_day) AS INT) AS month, avg(ice_classified) AS m FROM share_of GROUP BY ALL), b AS (SELECT month, avg(m) AS b FROM m WHERE year BETWEEN 1995 AND 1997 GROUP BY month)
 SELECT year, m.month, round(m, 6) AS mean, round(m - b, 6) AS anomaly FROM m LEFT JOIN b ON m.month = b.month""",
+    "annual_median": f"""WITH {SCENES} SELECT CAST(year(scene_day) AS INT) AS year, count(*) AS n, round(avg(ice_classified), 6) AS mean, round(median(ice_classified), 6) AS median,
+  round(stddev_samp(ice_classified) / avg(ice_classified), 6) AS cv FROM share_of WHERE ice_classified IS NOT NULL GROUP BY 1""",
     "sensor_bands": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 4 END AS nir FROM part",
     "raster_window": f"""WITH {GRID}, w AS (SELECT v.vec_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM (SELECT vec_id FROM embeddings) v, range(0, 4) a(y), range(0, 4) b(x))
 SELECT w.vec_id, w.y, w.x, round(g.v, 6) AS v, coalesce(m.v > 0, FALSE) AS land FROM w LEFT JOIN grid g ON g.vec_id = w.vec_id AND g.y = w.y + 5 AND g.x = w.x + 6 LEFT JOIN grid m ON m.vec_id = 0 AND m.y = w.y AND m.x = w.x""",

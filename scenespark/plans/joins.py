@@ -53,8 +53,8 @@ def value_tolerance_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order in the last year and a half."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate >= '2000-02-01'").select(F.col("o_custkey").alias("c_custkey"))
     return tj.resume(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
@@ -180,7 +180,7 @@ SELECT event_id, role, k.scene, offset_days, CASE WHEN roles > 1 THEN 'claimed b
     "theta_pairs": f"SELECT a.event_id, b.event_id AS event_id_b FROM {_EV.format('click')} a JOIN {_EV.format('purchase')} b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND abs(a.value - b.value) <= 5",
     "value_tolerance_unique": f"""WITH p AS (SELECT a.event_id, b.event_id AS event_id_b, count(*) OVER (PARTITION BY a.event_id) AS n FROM {_EV.format("click")} a JOIN {_EV.format("purchase")} b ON CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND abs(a.value - b.value) < 0.5)
 SELECT event_id, event_id_b FROM p WHERE n = 1""",
-    "resume_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "resume_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2000-02-01')",
     "membership_semi": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "set_operations": """WITH a AS (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80), b AS (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 80),
 u AS (SELECT 'both' AS op, user_id FROM (SELECT user_id FROM a INTERSECT SELECT user_id FROM b) UNION ALL SELECT 'either', user_id FROM (SELECT user_id FROM a UNION SELECT user_id FROM b)

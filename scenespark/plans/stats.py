@@ -61,6 +61,10 @@ def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(st.theil_sen(_seasons(spark, sf_dir), "season", "value"), 9)
 
 
+def theil_sen_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(st.theil_sen_interval(_seasons(spark, sf_dir), "season", "value"), 9)
+
+
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(st.kendall_tau(_seasons(spark, sf_dir), "season", "value"))
 
@@ -99,7 +103,7 @@ def clustering_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.clustering_permutation(b, "label", "flag", 2000)
 
 
-QUERIES = {f.__name__: f for f in (auc_rank, average_ranks, mad_spread, rmse_bias, corr_by_bin, reweighted, correlation_matrix, linear_fit, linear_fit_p, theil_sen, kendall_tau, group_medians, rollup_counts, bootstrap_se, bootstrap_median, bootstrap_decline, mc_permutation, clustering_permutation)}
+QUERIES = {f.__name__: f for f in (auc_rank, average_ranks, mad_spread, rmse_bias, corr_by_bin, reweighted, correlation_matrix, linear_fit, linear_fit_p, theil_sen, theil_sen_interval, kendall_tau, group_medians, rollup_counts, bootstrap_se, bootstrap_median, bootstrap_decline, mc_permutation, clustering_permutation)}
 _PAIRS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _CUT = "CASE WHEN doy < 60 THEN 0 WHEN doy < 120 THEN 1 WHEN doy < 180 THEN 2 WHEN doy < 240 THEN 3 {} END"
 ORACLE_SQL = {
@@ -119,6 +123,10 @@ SELECT season, round(sum(m * coalesce(w, 0)) / sum(coalesce(w, 0)), 6) AS value,
     "linear_fit": f"WITH {SEASONS} SELECT round(regr_slope(value, season), 6) AS slope, round(regr_intercept(value, season), 6) AS intercept, round(corr(value, season), 6) AS r, count(*) AS n FROM seasons",
     "theil_sen": f"""WITH {SEASONS}, p AS (SELECT median((b.value - a.value) / (b.season - a.season)) AS s FROM seasons a JOIN seasons b ON b.season > a.season), m AS (SELECT median(season) AS x, median(value) AS y FROM seasons)
 SELECT round(s, 9) AS slope, round(y - s * x, 9) AS intercept FROM p, m""",
+    "theil_sen_interval": f"""WITH {SEASONS}, p AS (SELECT list_sort(list((b.value - a.value) / (b.season - a.season))) AS s FROM seasons a JOIN seasons b ON b.season > a.season),
+t AS (SELECT coalesce(sum(k * (k - 1) * (2 * k + 5)), 0) AS ties FROM (SELECT count(*) AS k FROM seasons GROUP BY value)), c AS (SELECT count(*) AS n FROM seasons),
+w AS (SELECT s, len(s) AS m, 1.959963984540054 * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18.0) AS w FROM p, t, c)
+SELECT round(list_median(s), 9) AS slope, round(s[1 + greatest(CAST(round_even((m - w) / 2, 0) AS INT) - 1, 0)], 9) AS low, round(s[1 + least(CAST(round_even((m + w) / 2, 0) AS INT), m - 1)], 9) AS high, CAST(m AS INT) AS pairs FROM w""",
     "kendall_tau": f"WITH {SEASONS} SELECT round(sum(sign(b.value - a.value) * sign(b.season - a.season)) / sqrt(sum(abs(sign(b.value - a.value))) * sum(abs(sign(b.season - a.season)))), 6) AS tau, (SELECT CAST(count(*) AS INT) FROM seasons) AS n FROM seasons a JOIN seasons b ON a.season < b.season",
     "group_medians": """SELECT c_mktsegment, round(median(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 6) AS "F", round(median(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 6) AS "O" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
     "rollup_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS q, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

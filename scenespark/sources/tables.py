@@ -28,6 +28,11 @@ LATER = ("clear_px", "clear_pct", "classified_px", "usable", "solid_pct_clear",
 LEGACY = T.StructType([f for f in SUMMARY.fields if f.name not in LATER])
 
 
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every column of the header as text, uncast; absent and empty fields are empty text."""
+    return spark.read.csv(path, header=True, inferSchema=False).na.fill("")
+
+
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Columns by name, cast where they can be; what can't be read is NULL, and so are NaN, blanks and
     missing columns. Extra columns stay strings."""

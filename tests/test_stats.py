@@ -165,3 +165,18 @@ def test_claims_of_any_depth(spark):
         text = f'{{"k{i}": {text}, "t{i}": "{{no object"}}'
     got = {r.path: r.value for r in gates.flatten_claims(spark.createDataFrame([(text,), (None,)], "json string")).collect()}
     assert got[".".join(f"k{i}" for i in range(14))] == "1" and got["t0"] == "{no object" and len(got) == 15
+
+
+def test_theil_sen_interval(spark):
+    rng = random.Random(4)
+    for n in (2, 5, 12):
+        pts = [(float(rng.randint(0, n)) if n > 2 else float(i), rng.choice([0.0, 1.0, rng.random()])) for i in range(n)]
+        df = spark.createDataFrame([*pts, (None, 1.0), (2.0, None)], "x double, y double")
+        s = sorted((d - b) / (c - a) for a, b in pts for c, d in pts if c > a)
+        score = lambda k: k * (k - 1) * (2 * k + 5)
+        var = (score(n) - sum(score(sum(q[i] == v for q in pts)) for i in (0, 1) for v in {q[i] for q in pts})) / 18
+        w = 1.959963984540054 * math.sqrt(max(var, 0))
+        low, high = max(round((len(s) - w) / 2) - 1, 0), min(round((len(s) + w) / 2), len(s) - 1)
+        r = st.theil_sen_interval(df, "x", "y").first()
+        assert (r.slope, r.low, r.high, r.pairs) == (pytest.approx(np.median(s)), pytest.approx(s[low]), pytest.approx(s[high]), len(s))
+    assert not st.theil_sen_interval(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double"), "x", "y").collect()
