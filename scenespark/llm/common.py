@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,12 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. It is read from spark.checkpoint.dir; where that is
-    unset (tests, a single machine) a temporary folder is set for the session."""
+    unset a temporary folder is set for the session in local mode; on a cluster, whose machines share none, that
+    is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if where is None:
         where = sc.getCheckpointDir()
         if where is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="scenespark-")
             sc.setCheckpointDir(where)
     elif sc.getCheckpointDir() is None:

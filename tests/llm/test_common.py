@@ -1,6 +1,8 @@
 import random
 import re
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from scenespark.llm import common as cm
@@ -30,3 +32,14 @@ def test_words_and_lower(spark):
     for r in df.select("i", cm.ascii_lower(F.col("t")).alias("low"), cm.split_words(cm.ascii_lower(F.col("t"))).alias("w")).collect():
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.i])
         assert r.low == low and r.w == re.findall(cm.WORD, low)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def fake(master):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None, getConf=lambda: SimpleNamespace(get=lambda name: None))
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda name, other: None))
+
+    assert cm.shared_dir(fake("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            cm.shared_dir(fake(master))
