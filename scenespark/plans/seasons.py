@@ -167,6 +167,11 @@ SELECT round(any_value(gap), 6) AS gap, round(avg(CAST(g >= abs(gap) - 1e-12 AS
     "mann_kendall_s": f"""WITH {SEASONS}, s AS (SELECT sum(sign(b.value - a.value)) AS s FROM seasons a JOIN seasons b ON a.season < b.season), n AS (SELECT count(*) AS n FROM seasons),
 t AS (SELECT coalesce(sum(c * (c - 1) * (2 * c + 5)), 0) AS t FROM (SELECT count(*) AS c FROM seasons GROUP BY value)), v AS (SELECT (n * (n - 1) * (2 * n + 5) - t) / 18.0 AS v FROM n, t)
 SELECT CAST(s AS DOUBLE) AS s, round(v, 6) AS variance, round((s - sign(s)) / sqrt(v), 6) AS z FROM s, v""",
+    # p by the power series of the error function
+    "mann_kendall_p": f"""WITH {SEASONS}, s AS (SELECT sum(sign(b.value - a.value)) AS s FROM seasons a JOIN seasons b ON a.season < b.season), n AS (SELECT count(*) AS n FROM seasons),
+t AS (SELECT coalesce(sum(c * (c - 1) * (2 * c + 5)), 0) AS t FROM (SELECT count(*) AS c FROM seasons GROUP BY value)), v AS (SELECT (n * (n - 1) * (2 * n + 5) - t) / 18.0 AS v FROM n, t),
+z AS (SELECT CAST(s AS DOUBLE) AS s, v, CASE WHEN v > 0 THEN (s - sign(s)) / sqrt(v) END AS z FROM s, v), x AS (SELECT *, abs(z) / sqrt(2) AS x FROM z)
+SELECT s, round(v, 6) AS variance, round(z, 6) AS z, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow(x, 2 * k + 1) / (exp(lgamma(k + 1)) * (2 * k + 1)))), 6) AS p FROM x""",
     "scenario_decline": f"""WITH {SCENES}, r AS (SELECT 'observed' AS scenario, season, doy, ice_classified AS ice FROM share_of UNION ALL SELECT 'frozen', season, doy, {_FROZEN.format("1.0")} FROM share_of
   UNION ALL SELECT 'half', season, doy, {_FROZEN.format("0.5")} FROM share_of), s AS (SELECT scenario, season, avg(ice) AS value FROM r WHERE doy BETWEEN 53 AND 180 GROUP BY ALL),
 p AS (SELECT scenario, avg(value) FILTER (WHERE season < {SPLIT}) AS e, avg(value) FILTER (WHERE season >= {SPLIT}) AS l FROM s GROUP BY scenario)

@@ -121,6 +121,12 @@ w AS (SELECT bin, c, count(*) AS w FROM b WHERE season <= 1996 AND bin IS NOT NU
 SELECT season, round(sum(m * coalesce(w, 0)) / sum(coalesce(w, 0)), 6) AS value, count(m) AS n_days FROM o LEFT JOIN w ON o.bin = w.bin AND o.c = w.c GROUP BY season""",
     "correlation_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for i, a in enumerate(_PAIRS) for b in _PAIRS[i:]),
     "linear_fit": f"WITH {SEASONS} SELECT round(regr_slope(value, season), 6) AS slope, round(regr_intercept(value, season), 6) AS intercept, round(corr(value, season), 6) AS r, count(*) AS n FROM seasons",
+    # p by the finite sums of Student's distribution for whole degrees of freedom
+    "linear_fit_p": f"""WITH {SEASONS}, f AS (SELECT regr_slope(value, season) AS slope, corr(value, season) AS r, count(*) - 2 AS v FROM seasons),
+a AS (SELECT slope, v, atan(abs(r) / sqrt(1 - r * r)) AS a FROM f)
+SELECT round(slope, 6) AS slope, round(1 - CASE WHEN v % 2 = 1
+  THEN 2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda j: pow(cos(a), 2 * j + 1) * exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)))), 0))
+  ELSE sin(a) * list_sum(list_transform(range(0, v // 2), lambda j: pow(cos(a), 2 * j) * exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)))) END, 6) AS p FROM a""",
     "theil_sen": f"""WITH {SEASONS}, p AS (SELECT median((b.value - a.value) / (b.season - a.season)) AS s FROM seasons a JOIN seasons b ON b.season > a.season), m AS (SELECT median(season) AS x, median(value) AS y FROM seasons)
 SELECT round(s, 9) AS slope, round(y - s * x, 9) AS intercept FROM p, m""",
     "theil_sen_interval": f"""WITH {SEASONS}, p AS (SELECT list_sort(list((b.value - a.value) / (b.season - a.season))) AS s FROM seasons a JOIN seasons b ON b.season > a.season),
