@@ -33,7 +33,8 @@ def cap_per_season(df: DataFrame, by: Sequence[str], season: str, order: Sequenc
 
 def nearest_targets(df: DataFrame, by: Sequence[str], doy: str, row_id: str, n: int, window: tuple[int, int]) -> DataFrame:
     """by and row_id: groups above n rows give, for n evenly spaced days, the row nearest to each that isn't
-    taken yet (the earlier, then the smaller id, of equally near ones); smaller groups stay whole."""
+    taken yet (the earlier, then the smaller id, of equally near ones); smaller groups stay whole. Rows without a
+    day are left out. A day can give n rows at most, so only its n smallest ids reach the task of a group."""
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, row_id))
 
@@ -48,7 +49,9 @@ def nearest_targets(df: DataFrame, by: Sequence[str], doy: str, row_id: str, n:
             pdf = pdf.loc[rows]
         return pdf[[*by, row_id]]
 
-    return df.select(*by, doy, row_id).groupBy(*by).applyInPandas(pick, schema)
+    place = F.row_number().over(Window.partitionBy(*by, doy).orderBy(row_id))
+    near = df.select(*by, doy, row_id).where(F.col(doy).isNotNull()).withColumn("place__", place).where(F.col("place__") <= n).drop("place__")
+    return near.groupBy(*by).applyInPandas(pick, schema)
 
 
 def labelled(c: Column, cases: Sequence[tuple[Column, str]], other: str) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenespark.functions import special as fn
+from scenespark.operators import candidates as cd
 from scenespark.operators import clusters as cl
 from scenespark.operators import contrasts as ct
 from scenespark.operators import inference as st
@@ -180,3 +181,22 @@ def test_theil_sen_interval(spark):
         r = st.theil_sen_interval(df, "x", "y").first()
         assert (r.slope, r.low, r.high, r.pairs) == (pytest.approx(np.median(s)), pytest.approx(s[low]), pytest.approx(s[high]), len(s))
     assert not st.theil_sen_interval(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double"), "x", "y").collect()
+
+
+def test_nearest_targets_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(1, rng.choice([60, 61, 90, 150]), i) for i in range(60)] + [(2, 70, i) for i in range(20)] + [(3, 70 + i, i) for i in range(3)] + [(1, None, 99), (None, 100, 7)]
+    rng.shuffle(rows)
+    want = set()
+    for year in (1, 2, 3, None):
+        left = sorted((d, i) for y, d, i in rows if y == year and d is not None)
+        if len(left) > 8:
+            picked = []
+            for t in np.linspace(53, 180, 8):
+                picked.append(min(left, key=lambda r: (abs(r[0] - t), r)))
+                left.remove(picked[-1])
+            left = picked
+        want |= {(year, i) for _, i in left}
+    df = spark.createDataFrame(rows, "year int, doy int, id long")
+    got = cd.nearest_targets(df, ["year"], "doy", "id", 8, (53, 180)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
