@@ -77,13 +77,13 @@ def no_duplicates(df: DataFrame, key: Sequence[str], gate: str) -> DataFrame:
 
 
 def tiles(df: DataFrame, tile: str, allowed: Sequence[str]) -> DataFrame:
-    """Foreign tiles fail; a mixed record warns."""
+    """Foreign tiles fail; a mixed record warns and says how much of it the most frequent tile has."""
     n = df.groupBy(tile).count().agg(
         F.coalesce(F.sum(F.when(~F.coalesce(F.col(tile).isin(*allowed), F.lit(False)), F.col("count"))), F.lit(0)).alias("foreign"), F.count("*").alias("tiles"), (F.max("count") / F.sum("count")).alias("most")
     )
     rows = F.array(
         F.struct(F.lit("tiles").alias("gate"), F.when(F.col("foreign") > 0, FAIL).otherwise(PASS).alias("status"), F.concat(_n("foreign"), F.lit(" foreign rows")).alias("detail")),
-        F.struct(F.lit("tiles_mixed").alias("gate"), F.when(F.col("tiles") > 1, WARN).otherwise(PASS).alias("status"), F.concat(_n("tiles"), F.lit(" tiles")).alias("detail")),
+        F.struct(F.lit("tiles_mixed").alias("gate"), F.when(F.col("tiles") > 1, WARN).otherwise(PASS).alias("status"), F.concat(_n("tiles"), F.lit(" tiles, at most "), F.coalesce(F.round(100 * F.col("most")).cast("int"), F.lit(0)).cast("string"), F.lit(" % of rows in one")).alias("detail")),
     )
     return n.select(F.inline(rows))
 

@@ -84,7 +84,7 @@ UNION ALL SELECT 'derived_usable', 'PASS', '0 rows differ'
 UNION ALL SELECT 'no_duplicate_scenes', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, concat(n, ' keys repeat') FROM (SELECT count(*) AS n FROM (SELECT 1 FROM s GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
 UNION ALL SELECT 'no_duplicate_dates', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, concat(n, ' keys repeat') FROM (SELECT count(*) AS n FROM (SELECT 1 FROM s GROUP BY season, doy HAVING count(*) > 1))
 UNION ALL SELECT 'tiles', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, concat(n, ' foreign rows') FROM (SELECT count(*) AS n FROM s WHERE l_returnflag = 'R')
-UNION ALL SELECT 'tiles_mixed', CASE WHEN n > 1 THEN 'WARN' ELSE 'PASS' END, concat(n, ' tiles') FROM (SELECT count(DISTINCT l_returnflag = 'R') AS n FROM s)
+UNION ALL SELECT 'tiles_mixed', CASE WHEN n > 1 THEN 'WARN' ELSE 'PASS' END, concat(n, ' tiles, at most ', most, ' % of rows in one') FROM (SELECT count(*) AS n, CAST(round(100 * (max(k) / sum(k))) AS INT) AS most FROM (SELECT count(*) AS k FROM s GROUP BY l_returnflag = 'R'))
 UNION ALL SELECT 'ranges', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, concat(n, ' values out of range') FROM (SELECT count(*) FILTER (WHERE ice > 1) + count(*) FILTER (WHERE 160 - classified - cloud < 0) * 2 AS n FROM s)
 UNION ALL SELECT 'indices', CASE WHEN n > 0 THEN 'WARN' ELSE 'PASS' END, concat(n, ' index means beyond -1 to 1') FROM (SELECT count(*) AS n FROM s WHERE ndwi > 1)
 UNION ALL SELECT 'zeroed_band', 'PASS', '0 scenes' UNION ALL SELECT 'grid', 'PASS', '0 rows with two grids' UNION ALL SELECT 'grid_accounting', 'PASS', '0 rows over the grid'
