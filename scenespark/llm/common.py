@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +97,36 @@ def free_name(df: DataFrame, want: str) -> str:
     return want
 
 
+#: Rows that a function under `lean` gets at once.
+PIECE = 512
+
+
+def _give_back() -> None:
+    """What this process has freed goes back to the system. The second step is glibc's; elsewhere it is left out."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow with less memory: it gets its rows, all and in their order, in batches of at most
+    PIECE, and frees go back to the system when a partition ends. Spark keeps idle Python workers beside the
+    JVM's next stages, and they would hold the most that any stage took."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PIECE):
+                yield b.slice(at, PIECE)
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(pieces(batches))
+        finally:
+            _give_back()
+
+    return leaner
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
     """Streams (key, rows) pieces of a partition sorted by key. A long run comes in several pieces, so
     memory is bounded by a batch, not by a key's rows."""

@@ -76,7 +76,7 @@ def overlaps(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
     items = written(items.distinct().withColumn("key", F.xxhash64("item", F.array_join("item_words", " "))).withColumn("size", F.size("item_words")), "items")
     sizes = sorted(r[0] for r in items.select(F.least("size", F.lit(10)).alias("s")).distinct().collect())  # 5 to 10
     hashed = items.withColumn("hashed", F.transform("item_words", lambda w: F.xxhash64(w)))
-    none = df.sparkSession.createDataFrame([], "key long, size int, pos int, seed long")
+    none = df.sparkSession.range(0).selectExpr("id AS key", "0 AS size", "0 AS pos", "id AS seed")  # rows from Python would start workers
     for s in sizes:
         none = none.unionByName(_seeds(hashed.where(F.least("size", F.lit(10)) == s), list(masks_for(s)), ["key", "size"]))
     known = written(none, "seeds")

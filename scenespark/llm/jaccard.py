@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import bit_filter, filter_words, may_hold, written
+from scenespark.llm.common import bit_filter, filter_words, lean, may_hold, written
 from scenespark.llm.components import components
 from scenespark.llm.simhash import SEED, BKTree, fingerprint_of, shingle_hashes
 
@@ -83,7 +83,7 @@ def _sets(df: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t.as_py(), size) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([_signed(list(map(_node, sets))), _lists(sets)], names=["node", "tokens"])
 
-    return df.select("text").mapInArrow(run, "node long, tokens array<long>")
+    return df.select("text").mapInArrow(lean(run), "node long, tokens array<long>")
 
 
 def _common(df: DataFrame, size: int, one_in: int, least: int, most: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def _marks(df: DataFrame, size: int, similarity: float, common: np.ndarray) -> D
             cols += [pa.array([sketch(s).tobytes() for s in sets], pa.binary()), _lists(list(map(prefix, sets)))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "body", "node", "n", "fp", "sketch", "prefix"])
 
-    return df.mapInArrow(run, "doc_id long, body long, node long, n int, fp long, sketch binary, prefix array<long>")
+    return df.mapInArrow(lean(run), "doc_id long, body long, node long, n int, fp long, sketch binary, prefix array<long>")
 
 
 def _one_a_node(marks: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _proposed(named: DataFrame, leads: DataFrame, similarity: float, forest: boo
             yield links()
 
     dealt = tiled.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-    return dealt.mapInArrow(run, "h long, a long, b long")
+    return dealt.mapInArrow(lean(run), "h long, a long, b long")
 
 
 def _links(leads: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:

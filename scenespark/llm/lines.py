@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.llm.common import WS, ascii_lower, bit_filter, filter_words, free_name, may_hold, table, written
+from scenespark.llm.common import WS, ascii_lower, bit_filter, filter_words, free_name, lean, may_hold, table, written
 
 #: Rows without doc_id stand for one document that comes after all others.
 LAST = 2**63 - 1
@@ -111,7 +111,7 @@ def keep_bitmaps(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], names=["doc", "body", "n_dropped", "keep"])
 
     gone = dropped_lines(df, doc_id, text, min_chars).groupBy("doc", "body").agg(F.collect_list("pos").alias("pos"))
-    return gone.mapInArrow(pack, "doc long, body long, n_dropped long, keep binary")
+    return gone.mapInArrow(lean(pack), "doc long, body long, n_dropped long, keep binary")
 
 
 def kept_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
@@ -160,7 +160,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(lean(apply), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.llm.common import free_name, table, written
+from scenespark.llm.common import free_name, lean, table, written
 
 BINS = 1 << 20
 STEM = 5
@@ -174,7 +174,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "bins"])
 
     # the sample is bounded by sample_rows, and so is what is broadcast
-    got = written(texts.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(hash_texts, "grade int, bins array<int>"), "rated")
+    got = written(texts.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(lean(hash_texts), "grade int, bins array<int>"), "rated")
     of_grade = {r[0]: r[1] for r in got.groupBy("grade").count().collect()}
     if len(of_grade) < 2:
         return None
@@ -218,7 +218,7 @@ def classify(df: DataFrame, model: OrdinalModel | None, least: float = 0.5, text
             cols = [p.sum(axis=1), *p.T, p[:, -1] >= least]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in cols)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def ratings(labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.llm.common import free_name, table
+from scenespark.llm.common import free_name, lean, table
 
 #: Pre-tokenisation of byte-level BPE (a fixed value of the vocabulary's format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -303,7 +303,7 @@ def pack(df: DataFrame, path: str, most: int = 2048, end_id: int = 1, doc_id: st
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "token_ids"][: len(cols)])
 
-    pieces = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    pieces = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(cut), schema)
     k = (F.length(F.bin("length")) - 1).cast("long")
     out = pieces.withColumn("sequence_id", F.shiftleft(k, 58) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.col("length").cast("int"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *(["token_ids"] if with_ids else []))

@@ -43,3 +43,20 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             cm.shared_dir(fake(master))
+
+
+def test_lean_gives_all_rows_in_order_in_small_batches():
+    import pyarrow as pa
+
+    from scenespark.llm import common
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 0), (0, 3), (3, 2000), (2000, 2512))]
+    sizes = []
+
+    def run(given):
+        for b in given:
+            sizes.append(b.num_rows)
+            yield b
+
+    assert [x for b in common.lean(run)(iter(batches)) for x in b.column(0).to_pylist()] == list(range(2512))
+    assert max(sizes) <= common.PIECE and min(sizes) > 0

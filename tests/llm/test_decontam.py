@@ -87,3 +87,16 @@ def test_query_on_the_small_tables(spark):
     own = sorted([tuple(r) for r in dc.op6_decontamination(spark, sf).collect()], key=str)
     ids = {d for d, _ in short}
     assert [r for r in own if r[0] in ids] == brute(short, items) and own
+
+
+def test_nothing_is_sent_through_python(spark, monkeypatch):
+    """An executor would start Python workers of their own kind for rows that the driver's Python makes."""
+    df = spark.createDataFrame([(1, "x a b c d e f g h i j k l m n"), (2, "y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d e f g h i j k l m n")], "item_id long, text string")
+
+    def none(*_, **__):
+        raise AssertionError("rows made in Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", none)
+    assert got(dc.overlaps(df, bench)) == [(1, 7, 1, 0, 14, 14)]
+    assert [r.doc_id for r in dc.decontaminate(df, bench).collect()] == [2]

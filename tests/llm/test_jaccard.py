@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from scenespark.llm import jaccard as jc
+from scenespark.llm.common import PIECE
 
 
 def slow_set(text):
@@ -96,3 +98,13 @@ def test_stage_takes_copies_with_changed_words(spark):
         kept |= {10 * g, 10 * g + 3}
     docs = frame(spark, rows).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("long").alias("n_chars"))
     assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == sorted(kept)
+
+
+def test_python_gets_texts_in_small_batches(spark, monkeypatch):
+    frames = []
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: frames.append(f) or self)
+    jc._sets(df, 5)
+    batch = pa.RecordBatch.from_pydict({"text": [f"word {i} of some text" for i in range(1500)]})
+    out = list(frames[0](iter([batch])))
+    assert sum(b.num_rows for b in out) == 1500 and max(b.num_rows for b in out) <= PIECE
