@@ -55,12 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not whenever the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile leave no shuffle files; the session's setting is restored."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends there and a lost executor costs no
-    recomputation. Every call writes a folder of its own."""
+    """The frame as a Parquet table in the shared folder: lineage ends there, a lost executor costs no
+    recomputation, and what was shuffled for it is dropped. Every call writes a folder of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned_up(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

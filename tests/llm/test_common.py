@@ -60,3 +60,20 @@ def test_lean_gives_all_rows_in_order_in_small_batches():
 
     assert [x for b in common.lean(run)(iter(batches)) for x in b.column(0).to_pylist()] == list(range(2512))
     assert max(sizes) <= common.PIECE and min(sizes) > 0
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from scenespark.llm import common
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    there = lambda: {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before, was = there(), spark.conf.get(common.CLEANUP, None)
+    out = common.written(spark.range(5000).repartition(7).groupBy("id").count(), "counts")
+    end = time.time() + 20
+    while there() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not there() - before and spark.conf.get(common.CLEANUP, None) == was
+    assert out.count() == 5000 == out.distinct().count()
